@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import drop_saved, saved
+from .storage import IDS_MOST, drop_saved, saved, small_batches, with_ids
 from .tokens import mix, shingle_sets, words
 
 #: A shingle in more classes than this comes last in the global order; more for large inputs, so that these stay under HEAVY_MOST.
@@ -33,8 +33,6 @@ HEAVY_MOST = 1 << 19
 HEAVY_ROUNDS = 3
 PROBES = 4
 TRIE_SETS = 256
-#: Ids that are broadcast at most (8 bytes each).
-IDS_MOST = 1 << 20
 
 
 class PrefixTrie:
@@ -124,14 +122,14 @@ def shingle_table(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
 
 def _lengthened(batches, k: int, percent: int, heavy: np.ndarray):
-    """Prefixes under the order with `heavy` last, of the sets whose prefix by hash has a heavy shingle."""
+    """Prefixes under the order with `heavy` last, of the sets whose prefix by hash has a heavy shingle; fresh: what wasn't in that."""
     for batch in _sets(batches, k, percent, True):
         flat = batch.column(4).values.to_numpy().view(np.uint64)
         ends = batch.column(4).offsets.to_numpy()
         at = np.searchsorted(heavy, flat)
         at[at == len(heavy)] = 0
         last = heavy[at] == flat
-        keep, rows = [], []
+        keep, rows, fresh = [], [], []
         for i in range(batch.num_rows):
             a, b = ends[i], ends[i + 1]
             head = prefix_size(int(b - a), percent) if b > a else 0
@@ -139,8 +137,9 @@ def _lengthened(batches, k: int, percent: int, heavy: np.ndarray):
                 s, m = flat[a:b], last[a:b]
                 keep.append(i)
                 rows.append(np.concatenate((s[~m], s[m]))[:head])
+                fresh.append(s[head:][~m[head:]][: int(m[:head].sum())])
         if keep:
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), _list(rows)], ["id", "n", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), _list(rows), _list(fresh)], ["id", "n", "s", "fresh"])
 
 
 def _frequent(tokens: DataFrame, least: int) -> np.ndarray:
@@ -149,29 +148,30 @@ def _frequent(tokens: DataFrame, least: int) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().view(np.uint64))
 
 
-def _prefixes(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
-    """(id, n, token): the prefix of each class under the final order. And the tables to drop at the end."""
-    spark, drop = docs.sparkSession, []
-    base = classes.select("id", "n", F.explode("s").alias("token"))
-    total = classes.agg(F.sum(F.size("s"))).first()[0] or 0
+def _prefixes(docs: DataFrame, heads: DataFrame, copies: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, n, s): the prefix of each class under the final order. And the tables to drop at the end."""
+    spark = docs.sparkSession
+    total = heads.agg(F.sum(F.size("s"))).first()[0] or 0
     least = max(HEAVY_DF, math.ceil(total / HEAVY_MOST))
-    heavy = _frequent(base, least)
+    heavy = _frequent(heads.select(F.explode("s").alias("token")), least)
     if not len(heavy):
-        return base, drop
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        return heads.select("id", "n", "s"), []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    rows = with_ids(rows, copies, "left_anti")
+    longer = None
     for left in range(HEAVY_ROUNDS)[::-1]:
         sent = spark.sparkContext.broadcast(heavy)
-        longer = saved(rows.mapInArrow(lambda b, sent=sent: _lengthened(b, k, percent, sent.value), "id long, n long, s array<long>").join(classes.select("id", "n"), ["id", "n"], "left_semi").dropDuplicates(["id", "n"]), "longer")
-        drop.append(longer)
+        if longer is not None:
+            drop_saved(longer)
+        longer = saved(rows.mapInArrow(lambda b, sent=sent: _lengthened(b, k, percent, sent.value), "id long, n long, s array<long>, fresh array<long>"), "longer")
         if not left:
             break
-        known = spark.createDataFrame(pa.table({"token": heavy.view(np.int64)}))
-        more = _frequent(longer.select(F.explode("s").alias("token")).join(F.broadcast(known), "token", "left_anti"), least)
+        more = _frequent(longer.select(F.explode("fresh").alias("token")), least)
         if not len(more):
             break
-        heavy = np.sort(np.concatenate((heavy, more)))
-    same = base.join(longer.select("id", "n"), ["id", "n"], "left_anti")
-    return same.unionByName(longer.select("id", "n", F.explode("s").alias("token"))), drop
+        heavy = np.union1d(heavy, more)
+    changed = longer.select("id").distinct()
+    return with_ids(heads.select("id", "n", "s"), changed, "left_anti").unionByName(longer.select("id", "n", "s")), [longer]
 
 
 def _compare(rows, percent: int):
@@ -223,15 +223,9 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.select("a", "b", "s", "salt").mapInArrow(lambda rows: _compare(rows, percent), "a long, b long")
 
 
-def matching(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of docs whose id is in ids (id): by broadcast of at most IDS_MOST ids, counted first, else by shuffle."""
-    few = ids.limit(IDS_MOST + 1).count() <= IDS_MOST
-    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].cast("long") == ids["id"], "left_semi")
-
-
 def _sets_of(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return saved(shingle_table(matching(docs.select(id_col, text_col), ids, id_col), k, percent, id_col, text_col, True).select("id", "s"), "whole")
+    return saved(shingle_table(with_ids(docs.select(id_col, text_col), ids, "left_semi", id_col), k, percent, id_col, text_col, True).select("id", "s"), "whole")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,12 +235,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     have n_shingles 0 and link with nothing. Rows with equal ids count as one document with several texts. Rows with a
     null id are kept, link with nothing and have a null component. Other columns of docs are not looked at.
     """
+    small_batches(docs.sparkSession)
     table = saved(shingle_table(docs, k, percent, id_col, text_col), "sets")
     full = table.where("n > 0 AND id IS NOT NULL")
-    classes = saved(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("s").alias("s")), "classes")
+    classes = saved(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("root"), F.count("*").alias("rows")), "classes")
+    copies = saved(full.select("id", "n", "d1", "d2").join(classes.where("rows > 1"), ["n", "d1", "d2"]).where("id <> root").select("id", "root"), "copies")
+    spare = copies.select("id").distinct().join(classes.select(F.col("root").alias("id")), "id", "left_anti")
+    heads = with_ids(full, spare, "left_anti")
 
     # The first shingles by hash act as min-hashes: nearly all similar sets meet here, each with few others.
-    first = classes.select("id", "n", F.explode(F.slice("s", 1, PROBES)).alias("token"))
+    first = heads.select("id", "n", F.explode(F.slice("s", 1, PROBES)).alias("token"))
     lead = first.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct(F.xxhash64("id", "token"), "id", "n")).alias("lead")).where("df > 1")
     met = first.join(lead.select("token", F.col("lead.id").alias("a"), F.col("lead.n").alias("an")), "token")
     near = f"100 * least(n, an) >= {percent} * greatest(n, an)"
@@ -256,22 +254,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     drop_saved(whole)
     group = saved(components(links), "groups")
 
-    prefixes, drop = _prefixes(docs, classes, k, percent, id_col, text_col)
-    placed = prefixes.join(group.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "token", F.coalesce("component", "id").alias("g"))
-    split = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("token")
-    rest = saved(placed.join(split, "token"), "rest")
+    prefixes, drop = _prefixes(docs, heads, spare, k, percent, id_col, text_col)
+    few = group.limit(IDS_MOST + 1).count() <= IDS_MOST
+    grouped = group.withColumnRenamed("node", "id")
+    placed = prefixes.join(F.broadcast(grouped) if few else grouped, "id", "left").select("id", "n", F.coalesce("component", "id").alias("g"), F.explode("s").alias("token"))
+    split = saved(placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select(F.col("token").alias("id")), "split")
+    rest = saved(with_ids(placed, split, "left_semi", "token"), "rest")
     other = rest.select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"))
     left = rest.join(other, "token").where(f"g < ag AND {near}").select("a", F.col("id").alias("b")).distinct()
     left = saved(left.join(probes, ["a", "b"], "left_anti").join(probes.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "left")
     whole = _sets_of(docs, left, k, percent, id_col, text_col)
     more = saved(similar_pairs(left, whole, percent), "linked")
     # An id with several texts ties their classes.
-    twice = full.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id")
-    ties = full.join(twice, "id").join(classes.select("n", "d1", "d2", F.col("id").alias("b")), ["n", "d1", "d2"]).select(F.col("id").alias("a"), "b")
+    ties = copies.select(F.col("id").alias("a"), F.col("root").alias("b")).join(full.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("id").alias("a")), "a")
     names = saved(components(links.unionByName(more).unionByName(ties)), "groups")
-    for t in [*drop, whole, rest, left, probes, group, links, more]:
+    for t in [*drop, whole, split, rest, left, probes, group, links, more, copies]:
         drop_saved(t)
-    by_class = classes.join(names.withColumnRenamed("node", "id"), "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component_id"))
+    by_class = classes.join(names.withColumnRenamed("node", "root"), "root", "left").select("n", "d1", "d2", F.coalesce("component", "root").alias("component_id"))
     out = table.select("id", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")

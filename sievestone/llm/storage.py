@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +22,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a table to the shared folder and read again: lineage ends here and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what has been written now
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -31,3 +33,22 @@ def drop_saved(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of an Arrow batch that goes to a Python worker; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers: batches end at BATCH_BYTES as well as at a number of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: Ids that are broadcast at most (8 bytes each); more are joined by shuffle.
+IDS_MOST = 1 << 20
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, how: str, id_col: str = "id") -> DataFrame:
+    """left_semi or left_anti join of rows with ids (a column id), which are counted first."""
+    few = ids.limit(IDS_MOST + 1).count() <= IDS_MOST
+    return rows.join(F.broadcast(ids) if few else ids, rows[id_col].cast("long") == ids["id"], how)
