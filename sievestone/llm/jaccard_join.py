@@ -223,6 +223,20 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.select("a", "b", "s", "salt").mapInArrow(lambda rows: _compare(rows, percent), "a long, b long")
 
 
+def _possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their first shingles by hash (about a fifth) don't rule out: the overlap is at most what they share up to
+    the smaller of their last hashes, and all that either set has beyond."""
+    ids = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    own = with_ids(heads.select("id", "n", "s"), ids, "left_semi")
+    met = pairs.join(own.toDF("a", "an", "sa"), "a").join(own.toDF("b", "bn", "sb"), "b")
+    order = lambda x: x.bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  hashes are unsigned
+    met = met.withColumn("last", F.least(order(F.element_at("sa", -1)), order(F.element_at("sb", -1))))
+    low = [F.filter(c, lambda x: order(x) <= F.col("last")) for c in ("sa", "sb")]
+    met = met.select("a", "b", "an", "bn", low[0].alias("la"), low[1].alias("lb"))
+    most = F.size(F.array_intersect("la", "lb")) + F.least(F.col("an") - F.size("la"), F.col("bn") - F.size("lb"))
+    return met.where((100 + percent) * most >= percent * (F.col("an") + F.col("bn"))).select("a", "b")
+
+
 def _sets_of(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     return saved(shingle_table(with_ids(docs.select(id_col, text_col), ids, "left_semi", id_col), k, percent, id_col, text_col, True).select("id", "s"), "whole")
@@ -261,8 +275,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     split = saved(placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select(F.col("token").alias("id")), "split")
     rest = saved(with_ids(placed, split, "left_semi", "token"), "rest")
     other = rest.select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"))
-    left = rest.join(other, "token").where(f"g < ag AND {near}").select("a", F.col("id").alias("b")).distinct()
-    left = saved(left.join(probes, ["a", "b"], "left_anti").join(probes.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "left")
+    left = saved(rest.join(other, "token").where(f"g < ag AND {near}").select("a", F.col("id").alias("b")).distinct(), "met")
+    left = saved(_possible(left, heads, percent).join(probes, ["a", "b"], "left_anti").join(probes.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "left")
     whole = _sets_of(docs, left, k, percent, id_col, text_col)
     more = saved(similar_pairs(left, whole, percent), "linked")
     # An id with several texts ties their classes.
@@ -275,3 +289,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")
     )
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs, all columns as they are, with the document of least id of each component; rows with equal ids count once there.
+
+    Texts without words are in no group and stay, as do rows with a null id.
+    """
+    found = saved(jaccard_components(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("id"), "component_id", "n_shingles"), "found")
+    gone = saved(found.where("id <> component_id").select("id").distinct(), "gone")
+    kept = with_ids(docs, gone, "left_anti", id_col)
+    twice = found.where("n_shingles > 0 AND id = component_id").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id")
+    if twice.isEmpty():
+        return kept
+    twice = saved(twice, "twice")
+    worded = F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
+    once = with_ids(kept.where(worded), twice, "left_semi", id_col).dropDuplicates([id_col])
+    return with_ids(kept.where(worded), twice, "left_anti", id_col).unionByName(once).unionByName(kept.where(~worded | F.col(text_col).isNull()))
