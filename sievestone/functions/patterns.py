@@ -104,6 +104,16 @@ class SearchConfig:
             at = [i for i in range(1, n - m + 1) if pattern[i - 1] in self.prefixes]
         return [(i, pattern[i : i + m]) for i in at]
 
+    def own_windows(self, pattern: bytes) -> set[bytes]:
+        """Windows that the table of the very block has in which the pattern starts: those found from its first byte."""
+        if self.table_type == PLAIN:
+            first = range(1)
+        elif self.table_type == LONG_PREFIX:
+            first = range(len(self.long_prefix), len(self.long_prefix) + self.extras + 1) if pattern.startswith(self.long_prefix) else ()
+        else:
+            first = range(1, 2) if pattern[0] in self.prefixes else ()
+        return {w for i, w in self.windows(pattern) if i in first}
+
     def prefix_only(self, pattern: bytes) -> bool:
         """The pattern holds the long prefix but no whole window behind it: only an empty table proves absence."""
         return self.table_type == LONG_PREFIX and self.long_prefix in pattern and not self.windows(pattern)

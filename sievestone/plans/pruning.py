@@ -1,7 +1,7 @@
 """Pruning: candidate blocks of a pattern, from search tables alone.
 
 A match belongs to the block it starts in. A block is ruled out if some window of the pattern is in neither its own table nor those of the
-following blocks that a match could reach into. A missing table holds everything; each table is probed with its own
+following blocks that a match could reach into; or if a window that its own table would have for sure isn't there. A missing table holds everything; each table is probed with its own
 number of foldings. Of several configurations any proof counts. No byte of any block is read.
 """
 
@@ -34,11 +34,13 @@ def has_slot(slot: int) -> Column:
 
 
 def probe(tables: DataFrame, config: SearchConfig, pattern: bytes, block_size: int) -> DataFrame:
-    """(stream_id, block_no, hits, empty, has_overlap): for each window of the pattern whether the table has it."""
+    """(stream_id, block_no, hits, own, empty, has_overlap): for each window of the pattern whether the table has it; own: whether
+    it has all that its block must have if the pattern starts there. Both null for a table built without the bytes that follow."""
     base = config.base_log2 or auto_table_log2(block_size)
-    own = sorted({slot_of(w, base) for _, w in config.windows(pattern)})
-    hits = F.array(*[has_slot(s) for s in own]) if own else F.array().cast("array<boolean>")
-    return tables.where(F.col("config_id") == config.config_id).select("stream_id", "block_no", hits.alias("hits"), (F.col("popcount") == 0).alias("empty"), "has_overlap")
+    slots = sorted({slot_of(w, base) for _, w in config.windows(pattern)})
+    hits = F.array(*[has_slot(s) for s in slots]) if slots else F.array().cast("array<boolean>")
+    own = reduce(Column.__and__, [has_slot(s) for s in sorted({slot_of(w, base) for w in config.own_windows(pattern)})], F.lit(True))
+    return tables.where(F.col("config_id") == config.config_id).select("stream_id", "block_no", F.when(F.col("has_overlap"), hits).alias("hits"), F.when(F.col("has_overlap"), own).alias("own"), (F.col("popcount") == 0).alias("empty"), "has_overlap")
 
 
 def proofs(blocks: DataFrame, tables: DataFrame, config: SearchConfig, pattern: bytes, block_size: int, shortest: int | None = None) -> DataFrame:
@@ -57,6 +59,7 @@ def proofs(blocks: DataFrame, tables: DataFrame, config: SearchConfig, pattern:
         n = len({w_ for _, w_ in config.windows(pattern)})
         known = F.forall("seen", lambda t: t["hits"].isNotNull())
         proof = known & F.exists(F.sequence(F.lit(1), F.size(F.col("hits"))), lambda i: F.forall("seen", lambda t: ~F.element_at(t["hits"], i))) if n else F.lit(False)
+        proof = proof | (F.col("own") == F.lit(False))
     return rows.where(F.coalesce(proof, F.lit(False))).select("stream_id", "block_no")
 
 
