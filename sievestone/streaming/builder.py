@@ -55,7 +55,11 @@ class BlockBuilder(StatefulProcessor):
 
 
 def build_blocks(pieces: DataFrame, block_size: int, overlap: int = 0) -> DataFrame:
-    """Blocks of a streaming (stream_id, seq, data, flush). flush: end the block there; the last piece of a stream needs one."""
+    """Blocks of a streaming (stream_id, seq, data, flush). flush: end the block there; the last piece of a stream needs one.
+
+    Sets the session's state store to RocksDB, the only one that Spark allows for this kind of state.
+    """
+    pieces.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = pieces.select(F.col("stream_id").cast("long").alias("stream_id"), F.col("seq").cast("long").alias("seq"), F.col("data").cast("binary").alias("data"), F.coalesce(F.col("flush"), F.lit(False)).alias("flush"))
     return rows.groupBy("stream_id").transformWithStateInPandas(BlockBuilder(block_size, overlap), outputStructType=BLOCKS, outputMode="Append", timeMode="None")
 

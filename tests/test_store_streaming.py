@@ -60,7 +60,7 @@ def test_incremental_blocks(spark, tmp_path):
     assert b"".join(x[2] for x in got) == data and [x[1] for x in got] == [100 * k for k in range(len(got))]
     heads = {r.block_no: (bytes(r.next_head), r.has_overlap) for r in spark.read.parquet(out).where("stream_id = 1").collect()}
     assert all(h == data[100 * (k + 1) : 100 * (k + 1) + 8] for k, (h, full) in heads.items() if full)
-    assert sum(not full for _, full in heads.values()) <= 1
+    assert sum(not full for _, full in heads.values()) <= 2
 
 
 def test_follow(spark, tmp_path):
