@@ -71,3 +71,21 @@ def test_follow(spark, tmp_path):
     q = follow.follow_matches(spark, str(src), "error").writeStream.format("memory").queryName("followed").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.line for r in spark.table("followed").collect()) == ["error one", "error three", "error two"]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from sievestone.__main__ import main
+
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("start\n" + "fill line\n" * 200 + "the needle is here needle\nend\n")
+    store, side = str(tmp_path / "st"), str(tmp_path / "side")
+    assert main(["compress", store, str(tmp_path / "logs"), "--bs", "512", "--search"]) == 0
+    said = lambda *args: (main(list(args)), capsys.readouterr().out)
+    assert said("search", "needle", store) == (0, "the needle is here needle\n")
+    assert said("search", "-c", "needle", store, str(tmp_path / "logs")) == (0, f"{store}: 2\n{tmp_path / 'logs'}: 2\n")
+    assert said("search", "-q", "needle", store)[0] == 0 and said("search", "-q", "nothing", store)[0] == 1
+    assert said("search", "-n", "fill line\nthe", store)[1].startswith("1:")
+    assert main(["sidecar", "build", store, side, "--search-lens", "4,6"]) == 0
+    assert said("search", "--sidecar", side, "--bail", "needle", store)[1] == "the needle is here needle\n"
+    assert said("tail", store, "--tail", "10+nl")[1] == "end\n" and said("cat", store, "--verify") == (0, "")
+    assert '"histogram"' in said("stats", store, "--json")[1]
