@@ -126,8 +126,11 @@ def read_blocks(raw: bytes, options: Options = Options(), from_offset: int = 0)
         raise CorruptStream("the stream has no end")
 
 
-def write_stream(data: bytes, block_size: int = 2 << 20, level: int = 1, index: bool = False, padding: int = 0, user: Sequence[tuple[int, bytes]] = ()) -> bytes:
-    """One stream; user chunks come first. padding: the length becomes a multiple of it."""
+def write_stream(data: bytes, block_size: int = 2 << 20, level: int = 1, index: bool = False, padding: int = 0, user: Sequence[tuple[int, bytes]] = (), encoder=None) -> bytes:
+    """One stream; user chunks come first. padding: the length becomes a multiple of it.
+
+    encoder: a function of a block's bytes that gives them encoded without the leading 0 byte, or None to leave them to codec.encode().
+    """
     bits = max(10, (block_size - 1).bit_length()) - 10
     out, entries = bytearray(chunk(IDENTIFIER, MAGIC + bytes([bits]))), []
     for kind, payload in user:
@@ -136,7 +139,7 @@ def write_stream(data: bytes, block_size: int = 2 << 20, level: int = 1, index:
         out += chunk(kind, payload)
     for start in range(0, len(data), block_size):
         part = data[start : start + block_size]
-        packed = codec.encode(part, False, level)
+        packed = (encoder(part) if encoder else None) or codec.encode(part, False, level)
         stored = packed[:1] == b"\0"
         entries.append((len(out), start))
         crc = masked_crc(part).to_bytes(4, "little")
@@ -202,6 +205,17 @@ def read_index(payload: bytes) -> dict:
     return {"total": total, "stored": stored, "block_size": block_size, "entries": list(zip(packed_offsets, plain_offsets, strict=True))}
 
 
+def bare_index(payload: bytes) -> bytes:
+    """An index without the parts that are the same in each, to be kept elsewhere."""
+    read_index(payload)
+    return payload[len(INDEX_HEAD) : -len(INDEX_TAIL) - 4]
+
+
+def whole_index(bare: bytes) -> bytes:
+    """The payload that bare_index() was made from."""
+    return INDEX_HEAD + bare + (4 + len(INDEX_HEAD) + len(bare) + 10).to_bytes(4, "little") + INDEX_TAIL
+
+
 def index_json(payload: bytes) -> str:
     i = read_index(payload)
     return json.dumps({"total_uncompressed": i["total"], "total_compressed": i["stored"], "est_block_uncompressed": i["block_size"], "offsets": [{"compressed": c, "uncompressed": u} for c, u in i["entries"]]})

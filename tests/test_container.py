@@ -51,11 +51,14 @@ def test_streams_round_trip():
         assert len(raw) % 512 == 0 and b"".join(b.data for b in container.read_blocks(raw)) == data
         index = next(p for _, kind, p in container.chunks(raw) if kind == container.INDEX)
         got = container.read_index(index)
+        assert container.whole_index(container.bare_index(index)) == index
         assert got["entries"] == [(b.at, b.start) for b in container.read_blocks(raw)] and got["total"] == len(data)
     two = container.write_stream(b"one" * 50) + container.write_stream(b"two" * 50)
     assert [(b.stream, b.start) for b in container.read_blocks(two)] == [(0, 0), (1, 0)]
     uneven = [(10, 0), (50, 100), (75, 1500), (4000, 1501)]
     assert container.read_index(container.index_chunk(uneven, 2000, 5000, 1000)[4:])["entries"] == uneven
+    own = container.write_stream(b"abcdabcdabcdabcd" * 20, 4096, encoder=lambda part: codec.encode(part, False, 2) if len(part) > 100 else None)
+    assert b"".join(b.data for b in container.read_blocks(own)) == b"abcdabcdabcdabcd" * 20
     skipped = list(container.read_blocks(container.write_stream(bytes(9000), 4096), from_offset=5000))
     assert [len(b.data) for b in skipped] == [0, 4096, 808]
 

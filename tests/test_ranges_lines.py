@@ -138,3 +138,14 @@ def test_analytics(spark):
     drawn = analytics.draw(analytics.size_histogram(df, "length")).collect()
     assert max(len(r.bar) for r in drawn) == 40 and [r.bucket for r in drawn] == sorted(hist)
     assert analytics.report(df, "u", "op", F.col("length")).count() == 3
+
+
+def test_sql_functions(spark):
+    from sievestone.functions.sql import register
+
+    register(spark)
+    spark.createDataFrame(TEXTS, "id long, text string").createOrReplaceTempView("texts")
+    got = spark.sql("SELECT id, pos FROM texts, LATERAL find_all(text, '\n') ORDER BY 1, 2").collect()
+    assert [tuple(r) for r in got] == [(i, k) for i, d in RAW.items() for k, b in enumerate(d) if b == 10]
+    r = spark.sql("SELECT log2_bucket(1023), ratio_bucket(99, 100), ratio_bucket(1, 0), reduced_slot(1023, 10, 2), window_slot(CAST('ab' AS BINARY), 9) BETWEEN 0 AND 511").first()
+    assert tuple(r) == (9, 9, 10, 255, True)
