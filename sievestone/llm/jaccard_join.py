@@ -7,7 +7,9 @@ Sets of equal shingles are one class first, so copies cost one row. For the clas
    prefixes) and is by hash otherwise. Passages that many texts share so never bring their texts together.
 2. Probes. Each class is compared with one class for each of its first shingles; what links is one group.
 3. The rest. Classes that share a prefix shingle but are still in different groups are compared too. Pairs inside a group
-   are not: they can't change it. No link between groups can be missed.
+   are not: they can't change it. No link between groups can be missed. Where few classes share the shingle, they are paired;
+   where many do (large families of near copies), the family is dealt into blocks, and each two blocks meet in a task that
+   gives back only links which join groups, never pairs.
 
 Each comparison is made in a trie (`PrefixTrie`) over the ordered sets that are compared with the same class.
 """
@@ -33,6 +35,9 @@ HEAVY_MOST = 1 << 19
 HEAVY_ROUNDS = 3
 PROBES = 4
 TRIE_SETS = 256
+#: Classes that meet at a shingle of more classes than this are compared in blocks of about BLOCK_SETS, not as pairs.
+HOT_DF = 64
+BLOCK_SETS = 512
 
 
 class PrefixTrie:
@@ -223,6 +228,78 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.select("a", "b", "s", "salt").mapInArrow(lambda rows: _compare(rows, percent), "a long, b long")
 
 
+def _compare_blocks(rows, percent: int):
+    """rows: (family, i, j, block, id, g, s), sorted so; sets of block i against those of block j. Links that join groups."""
+    key, sides, found = None, {}, []
+
+    def flush():
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        def ask(trie, ids, gs, probe, probe_id, g):
+            for k, _ in trie.similar(probe, percent):
+                a, b = root(g), root(gs[k])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((probe_id, ids[k]))
+
+        if not sides:
+            return
+        first, second = sides.get(key[1], []), sides.get(key[2], [])
+        counts: dict[int, int] = {}
+        for _, g, _ in first:
+            counts[g] = counts.get(g, 0) + 1
+        # Those of the commonest group needn't meet each other.
+        top = max(counts, key=counts.get, default=None)
+        tries = []
+        for part in (first, [x for x in first if x[1] != top]):
+            tries.append((PrefixTrie([x[2] for x in part]), [x[0] for x in part], [x[1] for x in part]))
+        for probe_id, g, s in second:
+            ask(*tries[g == top], s, probe_id, g)
+
+    for batch in rows:
+        cols = [batch.column(c).to_pylist() for c in range(6)]
+        lists = batch.column(6)
+        flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        for r, (family, i, j, block, id_, g) in enumerate(zip(*cols, strict=True)):
+            if (family, i, j) != key:
+                flush()
+                key, sides = (family, i, j), {}
+            sides.setdefault(block, []).append((id_, g, flat[ends[r] : ends[r + 1]].copy()))
+        if found:
+            yield _links(found)
+    flush()
+    if found:
+        yield _links(found)
+
+
+def _links(found: list) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True)
+    found.clear()
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _family_links(hot: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """hot: (token, id, g), classes at very frequent shingles. What shingles tie together, directly or not, is a family."""
+    lead = hot.groupBy("token").agg(F.min("id").alias("lead"))
+    family = saved(components(hot.join(lead, "token").select(F.col("id").alias("a"), F.col("lead").alias("b"))), "families")
+    counts = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    member = family.join(counts, "component").join(hot.select(F.col("id").alias("node"), "g").distinct(), "node")
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = member.select("component", "block", F.col("node").alias("id"), "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "g")
+    whole = _whole_sets(docs, family.select(F.col("node").alias("id")).distinct(), k, percent, id_col, text_col)
+    met = dealt.join(whole, "id").select("component", "i", "j", "block", "id", "g", "s").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "block")
+    out = saved(met.mapInArrow(lambda rows: _compare_blocks(rows, percent), "a long, b long"), "linked")
+    drop_saved(whole)
+    drop_saved(family)
+    return out
+
+
 def _possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Pairs that their first shingles by hash (about a fifth) don't rule out: the overlap is at most what they share up to
     the smaller of their last hashes, and all that either set has beyond."""
@@ -238,7 +315,10 @@ def _possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return _whole_sets(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), k, percent, id_col, text_col)
+
+
+def _whole_sets(docs: DataFrame, ids: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     return saved(shingle_table(with_ids(docs.select(id_col, text_col), ids, "left_semi", id_col), k, percent, id_col, text_col, True).select("id", "s"), "whole")
 
 
@@ -272,17 +352,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     few = group.limit(IDS_MOST + 1).count() <= IDS_MOST
     grouped = group.withColumnRenamed("node", "id")
     placed = prefixes.join(F.broadcast(grouped) if few else grouped, "id", "left").select("id", "n", F.coalesce("component", "id").alias("g"), F.explode("s").alias("token"))
-    split = saved(placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select(F.col("token").alias("id")), "split")
-    rest = saved(with_ids(placed, split, "left_semi", "token"), "rest")
+    ends = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("df")).where("g0 < g1")
+    split = saved(ends.select(F.col("token").alias("id"), "df"), "split")
+    rest = saved(with_ids(placed, split.where(F.col("df") <= HOT_DF), "left_semi", "token"), "rest")
     other = rest.select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"))
     left = saved(rest.join(other, "token").where(f"g < ag AND {near}").select("a", F.col("id").alias("b")).distinct(), "met")
     left = saved(_possible(left, heads, percent).join(probes, ["a", "b"], "left_anti").join(probes.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "left")
+    hot = split.where(F.col("df") > HOT_DF)
+    if not hot.isEmpty():
+        links = links.unionByName(_family_links(saved(with_ids(placed, hot, "left_semi", "token").select("token", "id", "g"), "hot"), docs, k, percent, id_col, text_col))
     whole = _sets_of(docs, left, k, percent, id_col, text_col)
     more = saved(similar_pairs(left, whole, percent), "linked")
     # An id with several texts ties their classes.
     ties = copies.select(F.col("id").alias("a"), F.col("root").alias("b")).join(full.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("id").alias("a")), "a")
     names = saved(components(links.unionByName(more).unionByName(ties)), "groups")
-    for t in [*drop, whole, split, rest, left, probes, group, links, more, copies]:
+    for t in [*drop, whole, split, rest, left, probes, group, more, copies]:
         drop_saved(t)
     by_class = classes.join(names.withColumnRenamed("node", "root"), "root", "left").select("n", "d1", "d2", F.coalesce("component", "root").alias("component_id"))
     out = table.select("id", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left")
