@@ -169,6 +169,7 @@ def _prefixes(docs: DataFrame, heads: DataFrame, copies: DataFrame, k: int, perc
         if longer is not None:
             drop_saved(longer)
         longer = saved(rows.mapInArrow(lambda b, sent=sent: _lengthened(b, k, percent, sent.value), "id long, n long, s array<long>, fresh array<long>"), "longer")
+        sent.destroy()
         if not left:
             break
         more = _frequent(longer.select(F.explode("fresh").alias("token")), least)
@@ -356,17 +357,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     split = saved(ends.select(F.col("token").alias("id"), "df"), "split")
     rest = saved(with_ids(placed, split.where(F.col("df") <= HOT_DF), "left_semi", "token"), "rest")
     other = rest.select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"))
-    left = saved(rest.join(other, "token").where(f"g < ag AND {near}").select("a", F.col("id").alias("b")).distinct(), "met")
-    left = saved(_possible(left, heads, percent).join(probes, ["a", "b"], "left_anti").join(probes.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "left")
+    met = saved(rest.join(other, "token").where(f"g < ag AND {near}").select("a", F.col("id").alias("b")).distinct(), "met")
+    left = saved(_possible(met, heads, percent).join(probes, ["a", "b"], "left_anti").join(probes.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "left")
     hot = split.where(F.col("df") > HOT_DF)
     if not hot.isEmpty():
-        links = links.unionByName(_family_links(saved(with_ids(placed, hot, "left_semi", "token").select("token", "id", "g"), "hot"), docs, k, percent, id_col, text_col))
+        hot = saved(with_ids(placed, hot, "left_semi", "token").select("token", "id", "g"), "hot")
+        links = links.unionByName(_family_links(hot, docs, k, percent, id_col, text_col))
+        drop_saved(hot)
     whole = _sets_of(docs, left, k, percent, id_col, text_col)
     more = saved(similar_pairs(left, whole, percent), "linked")
     # An id with several texts ties their classes.
     ties = copies.select(F.col("id").alias("a"), F.col("root").alias("b")).join(full.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("id").alias("a")), "a")
     names = saved(components(links.unionByName(more).unionByName(ties)), "groups")
-    for t in [*drop, whole, split, rest, left, probes, group, more, copies]:
+    for t in [*drop, whole, split, rest, met, left, probes, group, more, copies]:
         drop_saved(t)
     by_class = classes.join(names.withColumnRenamed("node", "root"), "root", "left").select("n", "d1", "d2", F.coalesce("component", "root").alias("component_id"))
     out = table.select("id", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left")

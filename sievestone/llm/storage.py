@@ -36,7 +36,7 @@ def drop_saved(df: DataFrame) -> None:
 
 
 #: Bytes of an Arrow batch that goes to a Python worker; a longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 LONG_WORD = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
