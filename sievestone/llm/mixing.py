@@ -47,7 +47,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _trade(x: Column, y: Column, seed: str) -> Column:
-    """The two units after one trade, as (done, left): done's p is 0 or 1. Sizes are above 0."""
+    """The two units after one trade, as (done, left): done's p is 0 or 1. Both are fractional, so sizes are above 0."""
     r = y["size"] / x["size"]
     up, down = F.least(1 - x["p"], y["p"] * r), F.least(x["p"], (1 - y["p"]) * r)
     coin = F.pmod(F.xxhash64(F.lit(seed), x["key"], y["key"]), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -118,10 +118,11 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHAR
         "units",
     )
     most_buckets = info.agg(F.max("buckets")).first()[0] or 1
-    settled, depth = None, 0
+    open_ = (F.col("u.p") > 0) & (F.col("u.p") < 1)
+    # Rows without words, and those of whole rates, have nothing to trade.
+    settled, level, depth = level.where(~open_).select("source", "u"), level.where(open_), 0
     while True:
         after = saved(_round_buckets(level, f"{seed}-{depth}"), "rounded")
-        open_ = (F.col("u.p") > 0) & (F.col("u.p") < 1)
         last = most_buckets <= 1
         if last:  # one residual per source: its own coin
             coin = F.pmod(F.xxhash64(F.lit(seed), F.col("u.key")), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -129,7 +130,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHAR
             done = after
         else:
             done = after.where(~open_)
-        settled = done.select("source", "u") if settled is None else settled.unionByName(done.select("source", "u"))
+        settled = settled.unionByName(done.select("source", "u"))
         if last:
             break
         level = after.where(open_).select("source", F.floor(F.col("bucket") / FAN_IN).alias("bucket"), "u")

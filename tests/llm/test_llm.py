@@ -245,6 +245,19 @@ def test_mixing(spark, docs, rows, odd, empty):
     assert mixing.mix(empty).count() == 0 and mixing.take_mix(empty).count() == 0
 
 
+def test_mixing_with_texts_without_words(spark):
+    """Null, empty and blank texts in a source of a fractional rate trade nothing and stay."""
+    made = docs_of(spark, [(i, (None, "", " \n ", "w " * (1 + i % 7))[min(3, i % 6)], "a" if i < 80 else "b") for i in range(120)])
+    got = mixing.mix(made).collect()
+    assert Counter(r.doc_id for r in got) == Counter(range(120))
+    rate = {r.source: r.target / r.source_size for r in got}
+    assert any(x % 1 for x in rate.values())
+    assert all(r.size or (r.copies, r.taken) == (int(rate[r.source]), 0) for r in got)
+    for s in rate:
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) + 1e-6
+
+
 def test_mixing_keeps_expectations(spark):
     """Over many seeds each document's mean number of copies is its source's rate."""
     made = docs_of(spark, [(i, "w " * (1 + i % 7), "a" if i < 60 else "b") for i in range(90)])
