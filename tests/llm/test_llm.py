@@ -421,6 +421,31 @@ def test_repeated_passages(spark, docs, rows, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_common_passages_with_an_edit_anywhere():
+    """Every single-word edit that keeps Jaccard 0.8 is found, in passages alone and inside other text, and so are passages far apart in one text."""
+    rng = random.Random(14)
+    code = lambda ws: np.array([hash(tuple(ws[k : k + 5])) for k in range(len(ws) - 4)], np.int64).view(np.uint64)
+    some = lambda n: [rng.randrange(1 << 40) for _ in range(n)]
+    for n in (50, 52, 60, 65, 80, 120):
+        passage = some(n)
+        for k in range(n):
+            edited = [*passage[:k], -1, *passage[k + 1 :]]
+            x, y = set(code(passage).tolist()), set(code(edited).tolist())
+            for pad in (0, 30):
+                a, b = code(some(pad) + passage + some(pad)), code(some(pad // 2) + edited + some(pad))
+                found = list(substring_dedup.common_passages(a, b, 46, 80))
+                if len(x & y) >= 0.8 * len(x | y):
+                    assert found, (n, k, pad)
+                for s, e, s2, e2, j in found:
+                    one, two = set(a[s:e].tolist()), set(b[s2:e2].tolist())
+                    assert min(e - s, e2 - s2) >= 46 and len(one & two) >= 0.8 * len(one | two) and abs(j - 100 * len(one & two) / len(one | two)) < 1e-9
+    one, two = some(60), some(70)
+    a, b = code(one + two), code(two + some(300) + one)
+    assert sorted((s, e) for s, e, *_ in substring_dedup.common_passages(a, b, 46, 80)) == [(0, 56), (60, 126)]
+    same = code([1] * 100)
+    assert list(substring_dedup.common_passages(same, same[:60], 46, 80))
+
+
 # 3
 
 
