@@ -421,6 +421,30 @@ def test_repeated_passages(spark, docs, rows, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_families_that_share_keys_are_all_found(spark, monkeypatch):
+    """Twelve pairs under one key, near to nothing but each other: those that no lead belongs to are found too."""
+
+    def one_key(batches, least, needed):
+        units = sorted({u for b in batches for u in b.column(0).to_pylist()})
+        if units:
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array([7] * len(units), pa.int64()), *(pa.array([x] * len(units), pa.int32()) for x in (0, 111))], ["unit", "key", "l", "r"])
+
+    monkeypatch.setattr(substring_dedup, "_joint", one_key)
+    rng, made = np.random.default_rng(16), []
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    core = some(30)
+    for k in range(12):
+        ahead, after = some(40), some(40)
+        made += [(2 * k + i, " ".join([*some(3), *ahead, *core, *after, *some(3)]), "s") for i in range(2)]
+    got = substring_dedup.repeated_passages(docs_of(spark, made)).collect()
+    assert {(r.doc_id, r.partner_id) for r in got} == {(i, i ^ 1) for i in range(24)}
+
+
+def test_gaps_of_confirmed_passages():
+    assert list(substring_dedup.gaps(0, 199, [(50, 100)], 46)) == [(0, 95), (50, 199)]
+    assert list(substring_dedup.gaps(0, 120, [(40, 100)], 46)) == [] and list(substring_dedup.gaps(5, 60, [], 46)) == [(5, 60)]
+
+
 def test_passages_at_the_threshold_share_a_key():
     """Measured recall of the candidates: pairs of Jaccard 46 / 56 inside other text share a key in at least 99 % of cases."""
     rng, least, met, sure = np.random.default_rng(15), 46, 0, 600
