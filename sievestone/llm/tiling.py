@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +45,22 @@ def greedy_tiles(item: list[int], doc: list[int], least: int) -> list[Tile]:
         if longest > 2 * search:
             search = longest
             continue
-        # A match that a longer one cut is looked for again at the next, shorter search length.
-        for m in sorted(matches, key=lambda m: (-m.size, m.item_at, m.doc_at)):
-            if all(item_free[m.item_at : m.item_at + m.size]) and all(doc_free[m.doc_at : m.doc_at + m.size]):
-                tiles.append(m)
-                item_free[m.item_at : m.item_at + m.size] = [False] * m.size
-                doc_free[m.doc_at : m.doc_at + m.size] = [False] * m.size
+        # Of a match that a longer one cut, each free part waits for its turn by its own size.
+        queue = [(-m.size, m.item_at, m.doc_at) for m in matches]
+        heapify(queue)
+        while queue:
+            size, i, j = heappop(queue)
+            free = [x and y for x, y in zip(item_free[i : i - size], doc_free[j : j - size], strict=True)]
+            if all(free):
+                tiles.append(Tile(i, j, -size))
+                item_free[i : i - size] = doc_free[j : j - size] = [False] * -size
+                continue
+            start = 0
+            for whole, part in groupby(free):
+                n = len(list(part))
+                if whole and n >= search:
+                    heappush(queue, (-n, i + start, j + start))
+                start += n
         if search == least:
             break
         search = max(least, search // 2)

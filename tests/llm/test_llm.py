@@ -177,6 +177,34 @@ def test_tiles_against_force():
         assert sum(map(len, places)) == len(set().union(*places)) and abs(sum(map(len, places)) - force(item, doc, 3)) <= 3
 
 
+def test_cut_matches_are_tiled_to_the_end():
+    """The free part of a match that longer tiles cut is tiled in its turn, at the shortest search length too."""
+
+    def force(item, doc, least):
+        a, b, out = [True] * len(item), [True] * len(doc), []
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(item)):
+                for j in range(len(doc)):
+                    k = 0
+                    while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and a[i + k] and b[j + k]:
+                        k += 1
+                    best = max(best, (k, -i, -j))
+            k, i, j = best[0], -best[1], -best[2]
+            if k < least:
+                return out
+            out.append((i, j, k))
+            a[i : i + k], b[j : j + k] = [False] * k, [False] * k
+
+    rng = random.Random(9)
+    for _ in range(150):
+        item, doc = [rng.randrange(1000) for _ in range(30)], []
+        for k in range(4):
+            s = rng.randrange(22)
+            doc += [*item[s : s + rng.randrange(6, 16)], -1 - k]
+        assert sorted((t.item_at, t.doc_at, t.size) for t in tiling.greedy_tiles(item, doc, 5)) == sorted(force(item, doc, 5))
+
+
 def test_decontamination(spark, docs, odd, empty):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("qrstuv") for _ in range(6))
