@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +59,10 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE, id_
     to the template listed first (template counts from 0). Lines and texts without a bigram (null, empty, one word) match none.
     Rows are looked at alone: repeated rows give repeated results, a null id stays null.
 
+    A notice that is wrapped over lines, or that stands inside a longer line, is a passage: a run of words of the whole text, from one of a
+    template's bigrams to another, with a coefficient of `least` or more. line_no is the line it starts in. Passages that meet a line
+    that matches by itself are left out; of passages that meet, the one with the highest coefficient is given.
+
     By its number of words alone, a line too short or too long for every template is left out before bigrams are made; of the
     rest, a template is compared only if its size and the line's allow the coefficient. The templates are part of the plan.
     """
@@ -80,4 +87,54 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE, id_
         return F.when((n >= len(theirs) * ratio) & (n <= len(theirs) / ratio), F.struct(value.alias("dice"), F.lit(-k).alias("order"), F.lit(known[k][0]).alias("license")))
 
     best = mine.select("doc_id", "line_no", F.array_max(F.array(*[dice(k) for k in range(len(known))])).alias("b"))
-    return best.where(F.col("b.dice") >= least).select("doc_id", "line_no", "b.license", (-F.col("b.order")).alias("template"), "b.dice")
+    by_line = best.where(F.col("b.dice") >= least).select("doc_id", "line_no", "b.license", (-F.col("b.order")).alias("template"), "b.dice")
+    return by_line.unionByName(_passages(docs, known, least, id_col, text_col))
+
+
+def _needed_words(known, ratio: float) -> list[str]:
+    """A text that holds a share `ratio` of a template's bigrams has one of these: the rest of the bigrams is too few."""
+    out = set()
+    for _, b in known:
+        ranked = sorted(b, key=lambda x: (-max(map(len, x.split(" "))), x))
+        out |= {max(x.split(" "), key=len) for x in ranked[: len(b) - max(1, math.ceil(len(b) * ratio - 1e-9)) + 1]}
+    return sorted(out)
+
+
+def _passages(docs: DataFrame, known, least: float, id_col: str, text_col: str) -> DataFrame:
+    """Passages of scan_licenses. Only texts with a template's longest words are cut into words; a passage has at most twice the places
+    that its template's largest number of distinct bigrams needs."""
+    ratio = least / (2 - least)
+    bound = lambda c: F.explode(F.array(c))
+    low = F.lower(F.col("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(functools.reduce(lambda a, b: a | b, [low.contains(x) for x in _needed_words(known, ratio)]))
+    each = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.transform(words(x), lambda y: F.struct(y.alias("w"), (i + 1).alias("line")))))
+    cut = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), bound(each).alias("w")).where(F.size("w") > 1)
+    pair = lambda x, i: F.struct(F.concat_ws(" ", x["w"], F.get("w", i + 1)["w"]).alias("b"), x["line"].alias("line"), F.get("w", i + 1)["line"].alias("last"))
+    pairs = cut.select("doc_id", "row", bound(F.transform(F.slice("w", F.lit(1), F.size("w") - 1), pair)).alias("own"))
+    templates = [F.struct(F.lit(k).alias("k"), F.lit(name).alias("license"), F.array(*[F.lit(x) for x in b]).alias("theirs")) for k, (name, b) in enumerate(known)]
+    one = pairs.select("*", F.explode(F.array(*templates)).alias("t"))
+    hit = F.filter(F.transform("own", lambda x, i: F.when(F.array_contains("t.theirs", x["b"]), i)), lambda x: x.isNotNull())
+    few = F.size("t.theirs") * ratio
+    near = one.select("*", bound(hit).alias("hits")).where(F.size("hits") >= few).select("*", F.posexplode("hits").alias("x", "s"))
+    ends = F.filter(F.slice("hits", F.col("x") + 1, F.size("hits") - F.col("x")), lambda e: e - F.col("s") < 2 * F.size("t.theirs") / ratio)
+    wide = near.select("doc_id", "row", "own", "t", "s", bound(ends).alias("ends")).where(F.size("ends") >= few)
+
+    def dice(e: Column) -> Column:
+        run = F.array_distinct(F.transform(F.slice("own", F.col("s") + 1, e - F.col("s") + 1), lambda x: x["b"]))
+        return F.transform(F.array(run), lambda r: F.struct((2.0 * F.size(F.array_intersect(r, "t.theirs")) / (F.size(r) + F.size("t.theirs"))).alias("dice"), (-e).alias("e")))[0]
+
+    best = wide.select("*", F.array_max(F.transform("ends", dice)).alias("b")).where(F.col("b.dice") >= least)
+    found = best.select("doc_id", "row", "own", F.struct("b.dice", (-F.col("t.k")).alias("order"), (-F.col("s")).alias("back"), "s", (-F.col("b.e")).alias("e"), "t.license").alias("p"))
+    by_text = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("own").alias("own"), F.reverse(F.array_sort(F.collect_list("p"))).alias("ps"))
+    meets = lambda p, q: (p["s"] <= q["e"]) & (q["s"] <= p["e"])
+    kind = "array<struct<dice:double,order:int,back:int,s:int,e:int,license:string>>"
+    # Lines that match by themselves, of those that passages touch.
+    touched = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(F.get("own", p["s"])["line"], F.get("own", p["e"])["last"]))))
+
+    def whole(line: Column) -> Column:
+        own = F.array_distinct(F.transform(F.filter("own", lambda x: (x["line"] == line) & (x["last"] == line)), lambda x: x["b"]))
+        return F.exists(F.array(own), lambda r: F.exists(F.array(*templates), lambda t: 2.0 * F.size(F.array_intersect(r, t["theirs"])) / (F.size(r) + F.size(t["theirs"])) >= least))
+
+    free = by_text.select("*", bound(F.filter(touched, whole)).alias("taken")).select("doc_id", "own", F.filter("ps", lambda p: ~F.exists("taken", lambda x: (F.get("own", p["s"])["line"] <= x) & (x <= F.get("own", p["e"])["last"]))).alias("ps"))
+    kept = F.aggregate("ps", F.expr(f"CAST(array() AS {kind})"), lambda acc, p: F.when(F.exists(acc, lambda q: meets(p, q)), acc).otherwise(F.concat(acc, F.array(p))))
+    return free.select("doc_id", "own", F.explode(kept).alias("p")).select("doc_id", F.get("own", F.col("p.s"))["line"].alias("line_no"), "p.license", (-F.col("p.order")).alias("template"), "p.dice")

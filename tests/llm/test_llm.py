@@ -392,6 +392,15 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
+def test_wrapped_and_embedded_notices(spark):
+    """Notices wrapped over lines, as comments too, and inside a longer line are found where they start; each once."""
+    mit, gpl = licenses.TEMPLATES[3][1].split(" "), licenses.TEMPLATES[7][1].split(" ")
+    wrap = lambda ws, n, ahead="": "\n".join(ahead + " ".join(ws[k : k + n]) for k in range(0, len(ws), n))
+    texts = ["Copyright (c) 2020 someone\n\n" + wrap(mit, 11) + "\n\nTHE END", "x = 1\n" + wrap(gpl, 9, "# ") + "\ny = 2", "We have long said that this project is licensed under the MIT License. and that this will not change in the years to come", "a\nReleased under the MIT license\nb", wrap(mit[:20], 8), None, "software"]
+    got = sorted((r.doc_id, r.line_no, r.template) for r in licenses.scan_licenses(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect())
+    assert got == [(0, 3, 3), (1, 2, 7), (2, 1, 1), (3, 2, 0)]
+
+
 # 2
 
 
