@@ -9,21 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own is set only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own if Spark runs in this process alone, else an error."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="sievestone-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own.rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table to the shared folder and read again: lineage ends here and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what has been written now
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as a table to the shared folder and read again: lineage ends here and lost executors cost nothing.
+
+    Shuffle files are deleted as soon as the table is written, where Spark can do that.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+    spark._jvm.System.gc()  # broadcasts that nothing refers to any more go from the executors
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_saved(df: DataFrame) -> None:
@@ -45,7 +61,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 #: Ids that are broadcast at most (8 bytes each); more are joined by shuffle.
-IDS_MOST = 1 << 20
+IDS_MOST = 1 << 18
 
 
 def with_ids(rows: DataFrame, ids: DataFrame, how: str, id_col: str = "id") -> DataFrame:
