@@ -1,22 +1,23 @@
 """N-gram Jaccard join with a prefix tree: which texts share at least 80 % of their word shingles, and the groups they form.
 
-Sets of equal shingles are one class first, so copies cost one row. For the classes the join is exact, in three steps.
-
-1. Prefixes. Under one global order of all shingles, two sets with Jaccard j >= t share a shingle among the first
-   n - ceil(t n) + 1 of each. The order puts frequent shingles last (`heavy`: in more classes than `heavy_df`, counted over all
+Sets of equal shingles are one class first, so copies cost one row. The sets of the classes, in one global order of shingles, are stored
+in tries (`PrefixTrie`), which other sets walk down, counting what they share on a path once for all sets below it; a subtree ends where
+the lengths that remain can't reach the overlap needed. The tries are dealt by first shingles, the top of the tree, and what a walk gives
+back are links between groups. For the classes the join is exact:
+
+1. Branches. Classes that share one of their PROBES least shingles go to the trie of that shingle's first class, in parts of TRIE_SETS;
+   every set walks its part's trie, unless it is in one group with all of it already. This links nearly all that is alike.
+2. Prefixes. Under one global order of all shingles, two sets with Jaccard j >= t share a shingle among the first
+   n - ceil(t n) + 1 of each. The order puts frequent shingles last (`heavy`: in more classes than HEAVY_DF, counted over all
    prefixes) and is by hash otherwise. Passages that many texts share so never bring their texts together.
-2. Probes. Each class is compared with one class for each of its first shingles; what links is one group.
 3. The rest. Classes that share a prefix shingle but are still in different groups are compared too. Pairs inside a group
-   are not: they can't change it. No link between groups can be missed. Where few classes share the shingle, they are paired;
-   where many do (large families of near copies), the family is dealt into blocks, and each two blocks meet in a task that
-   gives back only links which join groups, never pairs.
-
-Each comparison is made in a trie (`PrefixTrie`) over the ordered sets that are compared with the same class.
+   are not: they can't change it. No link between groups can be missed. Where few classes share the shingle, they are paired, and pairs
+   that the prefixes don't rule out are walked in tries; where many do, they go to the branch of the shingle's first class again: those
+   outside its commonest group are stored, in blocks, and all of the branch walk through each block.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +29,19 @@ from .components import components
 from .storage import IDS_MOST, drop_saved, saved, small_batches, with_ids
 from .tokens import mix, shingle_sets, words
 
-#: A shingle in more classes than this comes last in the global order; more for large inputs, so that these stay under HEAVY_MOST.
+#: A shingle in more classes than this comes last in the global order, as does any with the same last HEAVY_BITS bits: the bitmap of
+#: these bits is what is broadcast (8 MB), whatever the input's size.
 HEAVY_DF = 8
-HEAVY_MOST = 1 << 19
+HEAVY_BITS = 26
 #: Rounds in which prefixes that lost heavy shingles are filled up and counted again. More rounds change only the speed.
 HEAVY_ROUNDS = 3
 PROBES = 4
 TRIE_SETS = 256
-#: Classes that meet at a shingle of more classes than this are compared in blocks of about BLOCK_SETS, not as pairs.
+#: Classes that meet at a shingle of more classes than this are compared in blocks of about BLOCK_SETS stored sets, not as pairs; of the
+#: sets that walk through a block, VISITORS go to one task.
 HOT_DF = 64
 BLOCK_SETS = 512
+VISITORS = 8192
 
 
 class PrefixTrie:
@@ -131,9 +135,8 @@ def _lengthened(batches, k: int, percent: int, heavy: np.ndarray):
     for batch in _sets(batches, k, percent, True):
         flat = batch.column(4).values.to_numpy().view(np.uint64)
         ends = batch.column(4).offsets.to_numpy()
-        at = np.searchsorted(heavy, flat)
-        at[at == len(heavy)] = 0
-        last = heavy[at] == flat
+        slot = flat & np.uint64((1 << HEAVY_BITS) - 1)
+        last = (heavy[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         keep, rows, fresh = [], [], []
         for i in range(batch.num_rows):
             a, b = ends[i], ends[i + 1]
@@ -147,19 +150,22 @@ def _lengthened(batches, k: int, percent: int, heavy: np.ndarray):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), _list(rows), _list(fresh)], ["id", "n", "s", "fresh"])
 
 
-def _frequent(tokens: DataFrame, least: int) -> np.ndarray:
-    """Shingles in more than `least` rows; callers set least so that at most HEAVY_MOST can be."""
-    rows = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > least).select("token").toArrow()
-    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+def _frequent(tokens: DataFrame) -> np.ndarray:
+    """Bitmap of the last bits of shingles in more than HEAVY_DF rows; its size doesn't depend on the input."""
+    slot = F.col("token").bitwiseAND(F.lit((1 << HEAVY_BITS) - 1)) + 1
+    many = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > HEAVY_DF).select(slot.alias("slot"))
+    parts = many.groupBy((F.bitmap_bucket_number("slot") - 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros(1 << (HEAVY_BITS - 3), np.uint8)
+    for part, bits in parts.toLocalIterator():
+        out[part * len(bits) : (part + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def _prefixes(docs: DataFrame, heads: DataFrame, copies: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
     """(id, n, s): the prefix of each class under the final order. And the tables to drop at the end."""
     spark = docs.sparkSession
-    total = heads.agg(F.sum(F.size("s"))).first()[0] or 0
-    least = max(HEAVY_DF, math.ceil(total / HEAVY_MOST))
-    heavy = _frequent(heads.select(F.explode("s").alias("token")), least)
-    if not len(heavy):
+    heavy = _frequent(heads.select(F.explode("s").alias("token")))
+    if not heavy.any():
         return heads.select("id", "n", "s"), []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     rows = with_ids(rows, copies, "left_anti")
@@ -172,24 +178,54 @@ def _prefixes(docs: DataFrame, heads: DataFrame, copies: DataFrame, k: int, perc
         sent.destroy()
         if not left:
             break
-        more = _frequent(longer.select(F.explode("fresh").alias("token")), least)
-        if not len(more):
+        more = _frequent(longer.select(F.explode("fresh").alias("token"))) & ~heavy
+        if not more.any():
             break
-        heavy = np.union1d(heavy, more)
+        heavy |= more
     changed = longer.select("id").distinct()
     return with_ids(heads.select("id", "n", "s"), changed, "left_anti").unionByName(longer.select("id", "n", "s")), [longer]
 
 
-def _compare(rows, percent: int):
-    """rows: sorted by probe; the probe's own set (other is null) before those to compare it with."""
+class _Groups:
+    """Which keys are one group, as far as links have been found; a link inside a group isn't given back."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.found: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    def link(self, a: int, b: int) -> None:
+        p, q = self.root(a), self.root(b)
+        if p != q:
+            self.parent[max(p, q)] = min(p, q)
+            self.found.append((a, b))
+
+
+def _compare(rows, percent: int, all_pairs: bool):
+    """rows: (probe, other, set), sorted by probe; the probe's own set (other is null) before those to compare it with.
+
+    Others are stored in tries of TRIE_SETS sets, which the probe walks; with all_pairs, so do all others that aren't linked to it.
+    """
     probes: list[np.ndarray] = []
-    key, opened, waiting, names, found = None, False, [], [], []
+    key, opened, waiting, names = None, False, [], []
+    groups = _Groups()
 
     def flush():
         if waiting and probes:
             trie = PrefixTrie(waiting)
             for p in probes:
-                found.extend((key, names[i]) for i, _ in trie.similar(p, percent))
+                for i, _ in trie.similar(p, percent):
+                    groups.link(key, names[i])
+            if all_pairs:
+                for name, p in zip(names, waiting, strict=True):
+                    if groups.root(name) != groups.root(key):
+                        for i, _ in trie.similar(p, percent):
+                            groups.link(name, names[i])
         waiting.clear()
         names.clear()
 
@@ -200,6 +236,8 @@ def _compare(rows, percent: int):
         for i in range(batch.num_rows):
             if probe[i] != key or other[i] is None and not opened:
                 flush()
+                if probe[i] != key:
+                    groups.parent.clear()
                 key, probes, opened = probe[i], [], True
             s = flat[ends[i] : ends[i + 1]].copy()
             if other[i] is None:
@@ -210,72 +248,49 @@ def _compare(rows, percent: int):
                 names.append(other[i])
                 if len(waiting) >= TRIE_SETS:
                     flush()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-            found.clear()
+        if groups.found:
+            yield _links(groups.found)
     flush()
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+    if groups.found:
+        yield _links(groups.found)
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) those whose sets (id, s) are similar. b's are spread over several tasks where a has very many."""
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int, all_pairs: bool = False) -> DataFrame:
+    """Links that join the groups of the pairs (a, b) whose sets (id, s) are similar; with all_pairs, of the b's of one a among each other
+    as well. b's are spread over several tasks where a has very many; in different tasks, or tries, they meet a only."""
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("salt"))
     many = salted.groupBy("a").agg(F.greatest(F.lit(1), F.least(F.lit(64), F.ceil(F.count("*") / (4 * TRIE_SETS)))).alias("parts"))
     salted = salted.join(many, "a").select("a", "b", (F.col("salt") % F.col("parts")).alias("salt"))
     others = salted.join(sets.select(F.col("id").alias("b"), "s"), "b").select("a", "b", "s", "salt")
     own = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", F.lit(None).cast("long").alias("b"), "s", "salt")
     dealt = others.unionByName(own).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.select("a", "b", "s", "salt").mapInArrow(lambda rows: _compare(rows, percent), "a long, b long")
+    return dealt.select("a", "b", "s", "salt").mapInArrow(lambda rows: _compare(rows, percent, all_pairs), "a long, b long")
 
 
 def _compare_blocks(rows, percent: int):
-    """rows: (family, i, j, block, id, g, s), sorted so; sets of block i against those of block j. Links that join groups."""
-    key, sides, found = None, {}, []
-
-    def flush():
-        parent: dict[int, int] = {}
-
-        def root(x):
-            while (up := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(up, up)
-            return x
-
-        def ask(trie, ids, gs, probe, probe_id, g):
-            for k, _ in trie.similar(probe, percent):
-                a, b = root(g), root(gs[k])
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    found.append((probe_id, ids[k]))
-
-        if not sides:
-            return
-        first, second = sides.get(key[1], []), sides.get(key[2], [])
-        counts: dict[int, int] = {}
-        for _, g, _ in first:
-            counts[g] = counts.get(g, 0) + 1
-        # Those of the commonest group needn't meet each other.
-        top = max(counts, key=counts.get, default=None)
-        tries = []
-        for part in (first, [x for x in first if x[1] != top]):
-            tries.append((PrefixTrie([x[2] for x in part]), [x[0] for x in part], [x[1] for x in part]))
-        for probe_id, g, s in second:
-            ask(*tries[g == top], s, probe_id, g)
-
+    """rows: (branch, block, part, late, id, g, s), sorted so: a block's stored sets first, then those that walk through it, which aren't held."""
+    key, held, trie, names, of = None, [], None, [], []
+    groups = _Groups()
     for batch in rows:
         cols = [batch.column(c).to_pylist() for c in range(6)]
         lists = batch.column(6)
         flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        for r, (family, i, j, block, id_, g) in enumerate(zip(*cols, strict=True)):
-            if (family, i, j) != key:
-                flush()
-                key, sides = (family, i, j), {}
-            sides.setdefault(block, []).append((id_, g, flat[ends[r] : ends[r + 1]].copy()))
-        if found:
-            yield _links(found)
-    flush()
-    if found:
-        yield _links(found)
+        for r, (branch, block, part, late, name, g) in enumerate(zip(*cols, strict=True)):
+            if (branch, block, part) != key:
+                key, held, trie, names, of = (branch, block, part), [], None, [], []
+                groups.parent.clear()
+            s = flat[ends[r] : ends[r + 1]].copy()
+            if not late:
+                held.append(s)
+                names.append(name)
+                of.append(g)
+                continue
+            trie = trie or PrefixTrie(held)
+            for k, _ in trie.similar(s, percent):
+                if g != of[k] and groups.root(g) != groups.root(of[k]):
+                    groups.link(g, of[k])
+        if groups.found:
+            yield _links(groups.found)
 
 
 def _links(found: list) -> pa.RecordBatch:
@@ -284,26 +299,36 @@ def _links(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _family_links(hot: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """hot: (token, id, g), classes at very frequent shingles. What shingles tie together, directly or not, is a family."""
-    lead = hot.groupBy("token").agg(F.min("id").alias("lead"))
-    family = saved(components(hot.join(lead, "token").select(F.col("id").alias("a"), F.col("lead").alias("b"))), "families")
-    counts = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    member = family.join(counts, "component").join(hot.select(F.col("id").alias("node"), "g").distinct(), "node")
-    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = member.select("component", "block", F.col("node").alias("id"), "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "g")
-    whole = _whole_sets(docs, family.select(F.col("node").alias("id")).distinct(), k, percent, id_col, text_col)
-    met = dealt.join(whole, "id").select("component", "i", "j", "block", "id", "g", "s").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "block")
+def _branch_links(hot: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links between groups g. hot: (token, id, g), classes at very frequent shingles; the branch of a shingle is its least class.
+
+    All that share a shingle are in its branch. In each, what isn't in the commonest group is stored, in blocks, and all of it walk through
+    them: no two of the commonest group are compared, and a set is sent once for each block of what isn't in it.
+    """
+    lead = hot.groupBy("token").agg(F.min("id").alias("branch"))
+    member = saved(hot.join(lead, "token").select("branch", "id", "g").distinct(), "members")
+    sizes = member.groupBy("branch", "g").agg(F.count("*").alias("n"))
+    # The commonest group, of equal ones the least, by plain maxima and minima.
+    most = sizes.groupBy("branch").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    top = sizes.join(most, "branch").where("n = most").groupBy("branch").agg(F.min("g").alias("top"), F.max("most").alias("most"), F.max("all").alias("all"))
+    few = F.col("all") - F.col("most")
+    top = saved(top.where(few > 0).select("branch", "top", F.ceil(few / BLOCK_SETS).cast("int").alias("blocks"), F.ceil(F.col("all") / VISITORS).cast("int").alias("parts")), "tops")
+    dealt = member.join(top, "branch")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt_by = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n)).cast("int")
+    stored = dealt.where("g <> top").select("branch", dealt_by("blocks").alias("block"), each("parts").alias("part"), F.lit(0).alias("late"), "id", "g")
+    walking = dealt.select("branch", each("blocks").alias("block"), dealt_by("parts").alias("part"), F.lit(1).alias("late"), "id", "g")
+    whole = _whole_sets(docs, dealt.select("id").distinct(), k, percent, id_col, text_col)
+    met = stored.unionByName(walking).join(whole, "id").select("branch", "block", "part", "late", "id", "g", "s").repartition("branch", "block", "part").sortWithinPartitions("branch", "block", "part", "late")
     out = saved(met.mapInArrow(lambda rows: _compare_blocks(rows, percent), "a long, b long"), "linked")
-    drop_saved(whole)
-    drop_saved(family)
+    for t in (whole, member, top):
+        drop_saved(t)
     return out
 
 
 def _possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Pairs that their first shingles by hash (about a fifth) don't rule out: the overlap is at most what they share up to
-    the smaller of their last hashes, and all that either set has beyond."""
+    the smaller of their last hashes, and what remains of the shorter of both beyond."""
     ids = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     own = with_ids(heads.select("id", "n", "s"), ids, "left_semi")
     met = pairs.join(own.toDF("a", "an", "sa"), "a").join(own.toDF("b", "bn", "sb"), "b")
@@ -345,7 +370,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     near = f"100 * least(n, an) >= {percent} * greatest(n, an)"
     probes = saved(met.where(f"a <> id AND {near}").select("a", F.col("id").alias("b")).distinct(), "probes")
     whole = _sets_of(docs, probes, k, percent, id_col, text_col)
-    links = saved(similar_pairs(probes, whole, percent), "linked")
+    links = saved(similar_pairs(probes, whole, percent, True), "linked")
     drop_saved(whole)
     group = saved(components(links), "groups")
 
@@ -362,7 +387,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     hot = split.where(F.col("df") > HOT_DF)
     if not hot.isEmpty():
         hot = saved(with_ids(placed, hot, "left_semi", "token").select("token", "id", "g"), "hot")
-        links = links.unionByName(_family_links(hot, docs, k, percent, id_col, text_col))
+        links = links.unionByName(_branch_links(hot, docs, k, percent, id_col, text_col))
         drop_saved(hot)
     whole = _sets_of(docs, left, k, percent, id_col, text_col)
     more = saved(similar_pairs(left, whole, percent), "linked")

@@ -123,6 +123,7 @@ def test_families_in_blocks_change_nothing(docs, rows, monkeypatch):
     """With every shared shingle taken as very frequent, and blocks of a few sets, the groups are the same."""
     monkeypatch.setattr(jaccard_join, "HOT_DF", 1)
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jaccard_join, "VISITORS", 4)
     monkeypatch.setattr(jaccard_join, "PROBES", 1)
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect() if r.doc_id is not None}
     assert got == {i: c for i, (_, c) in components_by_force(rows).items()}
