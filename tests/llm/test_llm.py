@@ -175,7 +175,7 @@ def test_tiles_against_force():
         got = tiling.greedy_tiles(item, doc, 3)
         places = [set(range(t.item_at, t.item_at + t.size)) for t in got]
         assert all(item[t.item_at : t.item_at + t.size] == doc[t.doc_at : t.doc_at + t.size] and t.size >= 3 for t in got)
-        assert sum(map(len, places)) == len(set().union(*places)) and abs(sum(map(len, places)) - force(item, doc, 3)) <= 3
+        assert sum(map(len, places)) == len(set().union(*places)) and sum(map(len, places)) == force(item, doc, 3)
 
 
 def test_cut_matches_are_tiled_to_the_end():
@@ -405,6 +405,81 @@ def test_wrapped_and_embedded_notices(spark):
 # 2
 
 
+def line_groups_by_force(rows):
+    """{(id, text, line): (id, text, line) of its group's first by id}, by edit distance of all pairs of normalised lines."""
+    import regex
+
+    norm = lambda x: regex.sub(r"[^\p{L}\p{N}]+", " ", x.lower()).strip(" ")
+    places = defaultdict(list)
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            if norm(line):
+                places[norm(line)].append((i, t, k))
+    known = sorted(places, key=len)
+    parent = list(range(len(known)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def distance(a, b, most):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+            if min(row) > most:
+                return most + 1
+        return row[-1]
+
+    for a in range(len(known)):
+        for b in range(a + 1, len(known)):
+            most = int(0.2 * len(known[b]) + 1e-9)
+            if len(known[b]) - len(known[a]) > most:
+                break
+            if sum(((one := Counter(known[a])) - (two := Counter(known[b]))).values()) <= most >= sum((two - one).values()) and distance(known[a], known[b], most) <= most:
+                parent[root(a)] = root(b)
+    groups = defaultdict(list)
+    for k, line in enumerate(known):
+        groups[root(k)] += places[line]
+    return groups
+
+
+def near_lines(rng, n):
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(3, 9)))
+    out = []
+    for i in range(n):
+        ws = [word() for _ in range(rng.randrange(8, 40))]
+        out.append((2 * i, " ".join(ws)))
+        for _ in range(rng.randrange(1, 1 + max(1, len(ws) // 12))):
+            ws[rng.randrange(len(ws))] = word()
+        out.append((2 * i + 1, " ".join(ws).upper()))
+    return out
+
+
+def test_near_lines_against_force(spark, monkeypatch):
+    """Of lines that a word in twelve or fewer sets apart, at least 0.9 are found; nothing else is. With ids broadcast or shuffled."""
+    rows = near_lines(random.Random(31), 150)
+    want = {max(x for x, _, _ in g) for g in line_groups_by_force(rows).values() if len(g) > 1}
+    made = docs_of(spark, [(i, t, "s") for i, t in rows])
+    got = {r.doc_id for r in line_dedup.line_groups(made).where("dropped").collect()}
+    print("recall", len(got & want) / len(want))
+    assert len(want) > 120 and got <= want and len(got) >= 0.9 * len(want)
+    monkeypatch.setattr("sievestone.llm.storage.IDS_MOST", 0)
+    assert {r.doc_id for r in line_dedup.line_groups(made).where("dropped").collect()} == got
+
+
+def test_lines_of_one_family_in_blocks(spark, monkeypatch):
+    """Lines that are near to others of their key, but not to its first, are found in blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    monkeypatch.setattr(line_dedup, "blocks", lambda norm: F.array(F.lit(1).cast("long")))
+    rows = near_lines(random.Random(32), 12)
+    groups = [g for g in line_groups_by_force(rows).values() if len(g) > 1]
+    got = {r.doc_id for r in line_dedup.line_groups(docs_of(spark, [(i, t, "s") for i, t in rows])).where("dropped").collect()}
+    assert groups and got == {x for g in groups for x in sorted({y for y, _, _ in g})[1:]}
+
+
 def test_line_groups(spark, empty, odd):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -413,22 +488,29 @@ def test_line_groups(spark, empty, odd):
     other[5] = word()
     made = docs_of(spark, [(3, "Same line here!\n\nfirst only\nsame  LINE here", "s"), (5, " ".join(other) + "\nx", "s"), (4, " ".join(long), "s"), (9, "same line, here", "s"), (10, None, "s"), (11, "", "s"), (None, "nulls too", "s"), (12, "nulls too", "s")])
     gone = sorted((r.doc_id, r.line_no) for r in line_dedup.line_groups(made).where("dropped").collect())
-    assert set(gone) >= {(3, 3), (9, 0), (12, 0)} and set(gone) <= {(3, 3), (9, 0), (12, 0), (5, 0)}
+    assert gone == [(3, 3), (5, 0), (9, 0), (12, 0)]
     clean = {r.doc_id: (r.text, r.lines, r.dropped_lines) for r in line_dedup.dedup_lines(made).collect()}
-    assert clean[3] == ("Same line here!\n\nfirst only", 4, 1) and clean[9] == ("", 1, 1) and clean[10] == (None, 0, 0) and clean[11] == ("", 1, 0)
+    assert clean[3] == ("Same line here!\n\nfirst only", 4, 1) and clean[9] == ("", 1, 1) and clean[10] == (None, 0, 0) and clean[11] == ("", 1, 0) and clean[5] == ("x", 2, 1)
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
-    with pytest.raises(ValueError):
-        line_dedup.line_groups(made, bits=4)
 
 
-def test_simhash_bits(spark):
-    lines = spark.createDataFrame([(1, 1, "aa bb cc dd"), (1, 1, "aa bb cc dd"), (2, 2, "ee")], "k1 long, k2 long, norm string")
-    got = {r.k1: r.sim for r in line_dedup._simhashes(lines).collect()}
-    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in "aa bb cc dd ee".split()], "w string").withColumn("h", F.xxhash64("w")).collect()}
-    def sim(ws):
-        v = sum(1 << b for b in range(64) if 2 * sum(hashes[w] >> b & 1 for w in ws) > len(ws))
-        return v - (1 << 64) if v >> 63 else v
-    assert got == {1: sim("aa bb cc dd".split()), 2: sim(["ee"])}
+def test_texts_of_one_id_lose_their_own_lines(spark):
+    made = docs_of(spark, [(1, "a repeated line of words", "s"), (5, "a repeated line of words", "s"), (5, "wholly different content here", "s"), (5, "wholly different content here", "s")])
+    got = sorted((r.doc_id, r.text, r.dropped_lines) for r in line_dedup.dedup_lines(made).collect())
+    assert got == [(1, "a repeated line of words", 0), (5, "", 1), (5, "wholly different content here", 0), (5, "wholly different content here", 0)]
+
+
+def test_signatures_survive_two_edits(spark):
+    """Ten features, two of them altered: a block is left, whichever they are; and blocks are the majority's bits."""
+    ws = [f"w{k}x" for k in range(11)]
+    base = spark.createDataFrame([(" ".join(ws),), ("one",), ("a b",)], "norm string").select(line_dedup.blocks(F.col("norm")).alias("b")).collect()
+    assert [len(r.b) for r in base] == [8, 1, 1]
+    hashes = sorted(r.h for r in spark.createDataFrame([(a, b) for a, b in zip(ws, ws[1:])], "a string, b string").select(F.xxhash64("a", "b").alias("h")).collect())
+    majority = lambda x: sum(1 << b for b in range(64) if sum(v >> b & 1 for v in x) > 1)
+    assert [x & (1 << 64) - 1 for x in base[0].b] == [majority(hashes[k : k + 3]) for k in range(8)]
+    edited = [" ".join([*ws[:k], "other", *ws[k + 1 :]]) for k in (0, 10)]
+    for r in spark.createDataFrame([(x,) for x in edited], "norm string").select(line_dedup.blocks(F.col("norm")).alias("b")).collect():
+        assert set(r.b) & set(base[0].b)
 
 
 # 5
@@ -436,13 +518,41 @@ def test_simhash_bits(spark):
 
 def test_compact_windows_cover_each_subsequence_once():
     rng = np.random.default_rng(2)
-    v = rng.integers(0, 50, 40).astype(np.uint64)
-    wins = list(substring_dedup.compact_windows(v, 6))
-    for i in range(40):
-        for j in range(i + 5, 40):
-            own = [(l, c, r) for l, c, r in wins if l <= i <= c <= j <= r]
-            assert len(own) == 1 and v[own[0][1]] == v[i : j + 1].min()
-    assert len(list(substring_dedup.compact_windows(np.zeros(10_000, np.uint64), 46))) < 500
+    v = rng.integers(0, 50, 90).astype(np.uint64)
+    got = substring_dedup.compact_windows(v, np.array([0, 40, 43]), np.array([40, 43, 90]), 6)
+    wins = list(zip(*(x.tolist() for x in got), strict=True))
+    for lo, hi in ((0, 40), (43, 90)):
+        for i in range(lo, hi):
+            for j in range(i + 5, hi):
+                own = [(l, c, r) for l, c, r in wins if l <= i <= c <= j <= r]
+                assert len(own) == 1 and v[own[0][1]] == v[i : j + 1].min()
+    assert all(lo <= l <= r < hi for l, c, r in wins for lo, hi in ((0, 40), (40, 43), (43, 90)) if lo <= l < hi)
+    assert len(substring_dedup.compact_windows(np.zeros(10_000, np.uint64), np.array([0]), np.array([10_000]), 46)[0]) < 500
+
+
+def test_joint_windows_of_several_texts_at_once():
+    """Batches of many texts give what each text gives alone, and every long enough subsequence has its key."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 40, n).astype(np.uint64) for n in (30, 4, 55, 18)]
+    rows = []
+    for unit, t in enumerate(texts):
+        for f in range(3):
+            v = tokens.mix(t + np.uint64(f << 32))
+            rows += [(unit, f, x, l, c, r) for l, c, r, x in zip(*substring_dedup.compact_windows(v, np.array([0]), np.array([len(v)]), 6), v[substring_dedup.compact_windows(v, np.array([0]), np.array([len(v)]), 6)[1]], strict=True)]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+
+    def joint(some):
+        u, f, x, l, c, r = zip(*some, strict=True)
+        cols = [u, f, np.array(x, np.uint64).view(np.int64), l, c, r]
+        batch = pa.RecordBatch.from_arrays([pa.array(list(z), t) for z, t in zip(cols, kinds, strict=True)], ["unit", "f", "v", "l", "c", "r"])
+        return {tuple(z.values()) for b in substring_dedup._joint([batch.slice(0, 7), batch.slice(7)], 6, 2) for z in b.to_pylist()}
+
+    every = joint(rows)
+    assert every == set().union(*(joint([x for x in rows if x[0] == k]) for k in (0, 2, 3)))
+    for unit, t in enumerate(texts):
+        for i in range(len(t)):
+            for j in range(i + 5, len(t)):
+                assert len([1 for u, _, l, low, high, r in every if u == unit and l <= i <= low and high <= j <= r]) >= 3
 
 
 def test_repeated_passages(spark, docs, rows, empty):
@@ -465,9 +575,11 @@ def test_families_that_share_keys_are_all_found(spark, monkeypatch):
     def one_key(batches, least, needed):
         units = sorted({u for b in batches for u in b.column(0).to_pylist()})
         if units:
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array([7] * len(units), pa.int64()), *(pa.array([x] * len(units), pa.int32()) for x in (0, 111))], ["unit", "key", "l", "r"])
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array([7] * len(units), pa.int64()), *(pa.array([x] * len(units), pa.int32()) for x in (0, 50, 60, 111))], ["unit", "key", "l", "low", "high", "r"])
 
     monkeypatch.setattr(substring_dedup, "_joint", one_key)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 5)
+    monkeypatch.setattr(substring_dedup, "VISITORS", 7)
     rng, made = np.random.default_rng(16), []
     some = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
     core = some(30)
@@ -478,11 +590,6 @@ def test_families_that_share_keys_are_all_found(spark, monkeypatch):
     assert {(r.doc_id, r.partner_id) for r in got} == {(i, i ^ 1) for i in range(24)}
 
 
-def test_gaps_of_confirmed_passages():
-    assert list(substring_dedup.gaps(0, 199, [(50, 100)], 46)) == [(0, 95), (50, 199)]
-    assert list(substring_dedup.gaps(0, 120, [(40, 100)], 46)) == [] and list(substring_dedup.gaps(5, 60, [], 46)) == [(5, 60)]
-
-
 def test_passages_at_the_threshold_share_a_key():
     """Measured recall of the candidates: pairs of Jaccard 46 / 56 inside other text share a key in at least 99 % of cases."""
     rng, least, met, sure = np.random.default_rng(15), 46, 0, 600
@@ -491,7 +598,7 @@ def test_passages_at_the_threshold_share_a_key():
         rows = []
         for f in range(substring_dedup.HASHES):
             v = tokens.mix(text ^ np.uint64(0x5851F42D4C957F2D * (f + 1) & (2**64 - 1)))
-            rows += [(f, v[c], l, c, r) for l, c, r in substring_dedup.compact_windows(v, least)]
+            rows += [(f, v[c], l, c, r) for l, c, r in zip(*substring_dedup.compact_windows(v, np.array([0]), np.array([len(v)]), least), strict=True)]
         f, v, l, c, r = zip(*rows, strict=True)
         return {k for found in substring_dedup.joint_windows(np.array(f), np.array(v, np.uint64), *(np.array(x) for x in (l, c, r)), least, substring_dedup.NEEDED) for k in found[0].tolist()}
 
