@@ -33,6 +33,10 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # Whole texts, without the copyright line.
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
 )
 
 
@@ -61,7 +65,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE, id_
 
     A notice that is wrapped over lines, or that stands inside a longer line, is a passage: a run of words of the whole text, from one of a
     template's bigrams to another, with a coefficient of `least` or more. line_no is the line it starts in. Passages that meet a line
-    that matches by itself are left out; of passages that meet, the one with the highest coefficient is given.
+    that matches by itself are left out; of passages that meet, the one with the highest coefficient is given (of equal ones, that of the longer template).
 
     By its number of words alone, a line too short or too long for every template is left out before bigrams are made; of the
     rest, a template is compared only if its size and the line's allow the coefficient. The templates are part of the plan.
@@ -105,17 +109,19 @@ def _passages(docs: DataFrame, known, least: float, id_col: str, text_col: str)
     that its template's largest number of distinct bigrams needs."""
     ratio = least / (2 - least)
     bound = lambda c: F.explode(F.array(c))
-    low = F.lower(F.col("text"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(functools.reduce(lambda a, b: a | b, [low.contains(x) for x in _needed_words(known, ratio)]))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("doc_id", "text", bound(F.lower("text")).alias("low")).where(functools.reduce(lambda a, b: a | b, [F.col("low").contains(x) for x in _needed_words(known, ratio)]))
     each = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.transform(words(x), lambda y: F.struct(y.alias("w"), (i + 1).alias("line")))))
     cut = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), bound(each).alias("w")).where(F.size("w") > 1)
     pair = lambda x, i: F.struct(F.concat_ws(" ", x["w"], F.get("w", i + 1)["w"]).alias("b"), x["line"].alias("line"), F.get("w", i + 1)["line"].alias("last"))
     pairs = cut.select("doc_id", "row", bound(F.transform(F.slice("w", F.lit(1), F.size("w") - 1), pair)).alias("own"))
     templates = [F.struct(F.lit(k).alias("k"), F.lit(name).alias("license"), F.array(*[F.lit(x) for x in b]).alias("theirs")) for k, (name, b) in enumerate(known)]
-    one = pairs.select("*", F.explode(F.array(*templates)).alias("t"))
-    hit = F.filter(F.transform("own", lambda x, i: F.when(F.array_contains("t.theirs", x["b"]), i)), lambda x: x.isNotNull())
+    hit = lambda t: F.filter(F.transform("own", lambda x, i: F.when(F.array_contains(t["theirs"], x["b"]), i)), lambda x: x.isNotNull())
+    # A text is copied for no template but those that have enough of their bigrams in it.
+    likely = F.filter(F.transform(F.array(*templates), lambda t: F.struct(t.alias("t"), hit(t).alias("hits"))), lambda x: F.size(x["hits"]) >= F.size(x["t"]["theirs"]) * ratio)
+    one = pairs.select("*", F.explode_outer(likely).alias("l")).where("l IS NOT NULL").select("doc_id", "row", "own", "l.t", "l.hits")
     few = F.size("t.theirs") * ratio
-    near = one.select("*", bound(hit).alias("hits")).where(F.size("hits") >= few).select("*", F.posexplode("hits").alias("x", "s"))
+    near = one.select("*", F.posexplode("hits").alias("x", "s"))
     ends = F.filter(F.slice("hits", F.col("x") + 1, F.size("hits") - F.col("x")), lambda e: e - F.col("s") < 2 * F.size("t.theirs") / ratio)
     wide = near.select("doc_id", "row", "own", "t", "s", bound(ends).alias("ends")).where(F.size("ends") >= few)
 
@@ -124,10 +130,10 @@ def _passages(docs: DataFrame, known, least: float, id_col: str, text_col: str)
         return F.transform(F.array(run), lambda r: F.struct((2.0 * F.size(F.array_intersect(r, "t.theirs")) / (F.size(r) + F.size("t.theirs"))).alias("dice"), (-e).alias("e")))[0]
 
     best = wide.select("*", F.array_max(F.transform("ends", dice)).alias("b")).where(F.col("b.dice") >= least)
-    found = best.select("doc_id", "row", "own", F.struct("b.dice", (-F.col("t.k")).alias("order"), (-F.col("s")).alias("back"), "s", (-F.col("b.e")).alias("e"), "t.license").alias("p"))
+    found = best.select("doc_id", "row", "own", F.struct("b.dice", F.size("t.theirs").alias("size"), (-F.col("t.k")).alias("order"), (-F.col("s")).alias("back"), "s", (-F.col("b.e")).alias("e"), "t.license").alias("p"))
     by_text = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("own").alias("own"), F.reverse(F.array_sort(F.collect_list("p"))).alias("ps"))
     meets = lambda p, q: (p["s"] <= q["e"]) & (q["s"] <= p["e"])
-    kind = "array<struct<dice:double,order:int,back:int,s:int,e:int,license:string>>"
+    kind = "array<struct<dice:double,size:int,order:int,back:int,s:int,e:int,license:string>>"
     # Lines that match by themselves, of those that passages touch.
     touched = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(F.get("own", p["s"])["line"], F.get("own", p["e"])["last"]))))
 

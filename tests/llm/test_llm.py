@@ -398,8 +398,19 @@ def test_wrapped_and_embedded_notices(spark):
     mit, gpl = licenses.TEMPLATES[3][1].split(" "), licenses.TEMPLATES[7][1].split(" ")
     wrap = lambda ws, n, ahead="": "\n".join(ahead + " ".join(ws[k : k + n]) for k in range(0, len(ws), n))
     texts = ["Copyright (c) 2020 someone\n\n" + wrap(mit, 11) + "\n\nTHE END", "x = 1\n" + wrap(gpl, 9, "# ") + "\ny = 2", "We have long said that this project is licensed under the MIT License. and that this will not change in the years to come", "a\nReleased under the MIT license\nb", wrap(mit[:20], 8), None, "software"]
+    whole = licenses.TEMPLATES[21][1].split(" ")
+    texts.append("Copyright (c) 2021 others\n\n" + wrap(whole, 12, " * ") + "\n\nint main() { return 0; }")
     got = sorted((r.doc_id, r.line_no, r.template) for r in licenses.scan_licenses(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect())
-    assert got == [(0, 3, 3), (1, 2, 7), (2, 1, 1), (3, 2, 0)]
+    assert got == [(0, 3, 3), (1, 2, 7), (2, 1, 1), (3, 2, 0), (7, 3, 21)]
+
+
+def test_license_edges(spark):
+    """Repeated rows repeat results, ties go to the first template, long texts are read to the end, clashing columns change nothing."""
+    long = "word " * 300_000 + "\nReleased under the MIT license\n" + "tail " * 100
+    made = docs_of(spark, [(1, "Released under the MIT license", "s"), (1, "Released under the MIT license", "s"), (2, long, "s"), (None, "Licensed under CC BY 4.0.", "s")])
+    clash = made.select("*", *[F.lit(k).alias(x) for k, x in enumerate(("line_no", "w", "own", "low", "row", "b"))])
+    got = sorted(map(tuple, licenses.scan_licenses(clash).collect()), key=str)
+    assert got == [(1, 1, "MIT", 0, 1.0), (1, 1, "MIT", 0, 1.0), (2, 2, "MIT", 0, 1.0), (None, 1, "CC-BY-4.0", 15, 1.0)]
 
 
 # 2
