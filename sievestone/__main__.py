@@ -55,7 +55,7 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name, help="bytes of a store")
         p.add_argument("store")
         p.add_argument("--offset", type=ranges.option)
-        p.add_argument("--tail", type=ranges.option, default=ranges.option("1KB+nl") if name == "tail" else None)
+        p.add_argument("--tail", type=ranges.option, help="1KB+nl for tail, unless an offset is given" if name == "tail" else None)
         p.add_argument("--limit", type=ranges.option)
         p.add_argument("--verify", action="store_true", help="check that blocks are complete, print nothing else")
     s = sub.add_parser("search", aliases=["s", "find"], help="occurrences of a pattern")
@@ -152,12 +152,12 @@ def main(argv: list[str] | None = None) -> int:
         st.write_store(data, a.store, a.block_size, configs_of(a) if a.search else (), a.codec, mode="overwrite" if a.overwrite else "errorifexists")
     elif a.command in ("cat", "tail"):
         own = st.Store(spark, a.store)
-        tail = None if a.offset else a.tail
-        ranges.check_options(a.offset, tail)
+        ranges.check_options(a.offset, a.tail)
+        tail = a.tail or (ranges.option("1KB+nl") if a.command == "tail" and not a.offset else None)
         if a.verify:
             return 1 if _rows(own.verify(), lambda r: f"{r.stream_id}: incomplete") else 0
         limit, limit_nl = a.limit or (None, False)
-        out = own.tail(*tail) if tail else own.read(a.offset[0] if a.offset else 0, limit, offset_nl=bool(a.offset and a.offset[1]), limit_nl=limit_nl)
+        out = own.tail(*tail, limit=limit) if tail else own.read(a.offset[0] if a.offset else 0, limit, offset_nl=bool(a.offset and a.offset[1]), limit_nl=limit_nl)
         for r in out.orderBy("stream_id").toLocalIterator():
             sys.stdout.buffer.write(bytes(r.data))
     elif a.command in ("search", "s", "find"):
@@ -173,13 +173,13 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "stats":
         own = st.Store(spark, a.store)
         if a.per_block:
-            own.blocks.select("stream_id", "block_no", "block_start", "block_len", "is_last").orderBy("stream_id", "block_no").show(1000, truncate=False)
+            _rows(own.blocks.select("stream_id", "block_no", "block_start", "block_len", "is_last").orderBy("stream_id", "block_no"), lambda r: "\t".join(map(str, r)))
         if a.csv:
             analytics.write_csv(blocks.totals(own.blocks), a.csv)
         elif a.json:
             _rows(analytics.report(own.blocks.withColumn("kind", F.when(F.col("is_last"), "last").otherwise("full")), "stream_id", "kind", F.col("block_len")), lambda r: r.json)
         else:
-            blocks.totals(own.blocks).withColumn("size", human_size("total_len")).show(1000, truncate=False)
+            _rows(blocks.totals(own.blocks).withColumn("size", human_size("total_len")).orderBy("stream_id"), lambda r: "\t".join(map(str, r)))
             if not a.no_hist:
                 analytics.draw(analytics.size_histogram(own.blocks, "block_len")).show(25, truncate=False)
     return 0

@@ -7,6 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The slot of a window: its first four bytes and the rest, as little-endian numbers, times these, and its length; modulo a prime, then
+#: modulo the table's bits. No step exceeds 63 bits, so that SQL and numpy give the same slots.
+SLOT_LOW, SLOT_HIGH, SLOT_PRIME = 637_103_897, 823_117_301, (1 << 31) - 1
+
 #: Buckets of a log2 histogram; the last takes all larger values.
 LOG2_BUCKETS = 25
 
@@ -118,14 +122,14 @@ def chunk_type_name(kind) -> Column:
 
 def popcount(bitmap) -> Column:
     """Set bits of a binary column."""
-    return F.length(F.translate(F.hex(_col(bitmap)), "0", "")) * 0 + F.aggregate(
-        F.split(F.hex(_col(bitmap)), ""), F.lit(0), lambda acc, h: acc + F.coalesce(F.bit_count(F.conv(h, 16, 10).try_cast("int")), F.lit(0))
-    )
+    return F.aggregate(F.split(F.hex(_col(bitmap)), ""), F.lit(0), lambda acc, h: acc + F.coalesce(F.bit_count(F.conv(h, 16, 10).try_cast("int")), F.lit(0)))
 
 
 def window_slot(window, base_log2: int) -> Column:
-    """The hash slot of a window of bytes in a table of 2**base_log2 bits."""
-    return F.pmod(F.xxhash64(_col(window)), F.lit(1 << base_log2))
+    """The hash slot of a window of 1 to 8 bytes in a table of 2**base_log2 bits: the bit that search tables have for it."""
+    w = _col(window)
+    total = little_endian(w, 4) * SLOT_LOW + little_endian(F.substr(w, F.lit(5), F.lit(4)), 4) * SLOT_HIGH + F.length(w)
+    return total % SLOT_PRIME % (1 << base_log2)
 
 
 def reduced_slot(slot, base_log2: int, reductions) -> Column:

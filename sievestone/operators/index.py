@@ -14,20 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import LONG_PREFIX, PLAIN, SearchConfig
-from ..functions.scalar import auto_table_log2
+from ..functions.scalar import SLOT_HIGH, SLOT_LOW, SLOT_PRIME, auto_table_log2
 
 TABLES = "stream_id long, block_no int, config_id int, reductions int, popcount int, total_bits int, has_overlap boolean, bitmap binary"
 MIN_BYTES = 32
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def slots(data: np.ndarray, at: np.ndarray, match_len: int, base_log2: int) -> np.ndarray:
-    """Hash slot of the match_len bytes at each place: the top bits of a wrapping multiplication."""
-    value = np.zeros(len(at), np.uint64)
+    """Hash slot of the match_len bytes at each place: window_slot() of functions.scalar, over arrays."""
+    half = [np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)]
     for k in range(match_len):
-        value |= data[at + k].astype(np.uint64) << np.uint64(8 * k)
-    value = (value ^ (value >> np.uint64(29))) * _MULTIPLIER
-    return ((value ^ (value >> np.uint64(32))) * _MULTIPLIER) >> np.uint64(64 - base_log2)
+        half[k // 4] |= data[at + k].astype(np.uint64) << np.uint64(8 * (k % 4))
+    low, high = np.uint64(SLOT_LOW), np.uint64(SLOT_HIGH)
+    return (half[0] * low + half[1] * high + np.uint64(match_len)) % np.uint64(SLOT_PRIME) % np.uint64(1 << base_log2)
 
 
 def slot_of(window: bytes, base_log2: int) -> int:

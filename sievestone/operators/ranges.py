@@ -43,41 +43,55 @@ def read_range(blocks: DataFrame, offset: int | Column, length: int | Column | N
     return part.groupBy("stream_id").agg(F.array_sort(F.collect_list("p")).alias("parts")).select("stream_id", _joined("parts").alias("data"))
 
 
-def _after_newline(data: str) -> Column:
-    """What follows the first newline; the data itself if there is none. One character for each byte while searching."""
-    at = F.instr(F.decode(data, "ISO-8859-1"), "\n")
-    return F.when(at > 0, F.substr(data, at + 1, F.length(data))).otherwise(F.col(data))
+def _newlines(blocks: DataFrame, after: DataFrame) -> DataFrame:
+    """(stream_id, nl): the place of the first newline at or behind `at` of (stream_id, at). Each block is looked at by itself."""
+    near = blocks.join(after, "stream_id").where(F.col("block_start") + F.col("block_len") > F.col("at"))
+    skip = F.greatest(F.lit(0), F.col("at") - F.col("block_start"))
+    # One character for each byte.
+    found = F.instr(F.decode(F.substr("data", (skip + 1).cast("int"), F.col("block_len")), "ISO-8859-1"), "\n")
+    return near.select("stream_id", F.when(found > 0, F.col("block_start") + skip + found - 1).alias("nl")).groupBy("stream_id").agg(F.min("nl").alias("nl"))
+
+
+def _between(blocks: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(stream_id, data): the bytes from lo to hi (exclusive, null: the end) of each row of bounds (stream_id, lo, hi); empty where there are none."""
+    end = F.col("block_start") + F.col("block_len")
+    hi = F.coalesce("hi", F.lit(1 << 62))
+    near = blocks.join(bounds, "stream_id").where((F.col("block_start") < hi) & (end > F.col("lo")))
+    first = F.greatest(F.lit(0), F.col("lo") - F.col("block_start"))
+    size = F.least(end, hi) - F.col("block_start") - first
+    part = near.select("stream_id", F.struct("block_no", F.hex(F.substr("data", (first + 1).cast("int"), size.cast("int"))).alias("h")).alias("p"))
+    read = part.groupBy("stream_id").agg(F.array_sort(F.collect_list("p")).alias("parts")).select("stream_id", _joined("parts").alias("data"))
+    return bounds.select("stream_id").join(read, "stream_id", "left").select("stream_id", F.coalesce("data", F.lit(b"")).alias("data"))
 
 
 def read_from(blocks: DataFrame, offset: int, limit: int | None = None, offset_nl: bool = False, limit_nl: bool = False) -> DataFrame:
     """read_range() with alignment: offset_nl starts after the next newline (or where it was, if none follows);
-    limit_nl goes on after `limit` bytes up to the next newline, which is left out."""
+    limit_nl goes on after `limit` bytes up to the next newline, which is left out.
+
+    Newlines are looked for in each block; of a stream, only the blocks of the result meet in a row.
+    """
     if not offset_nl and not limit_nl:
         return read_range(blocks, offset, limit)
-    rest = read_range(blocks, offset, None)
+    bounds = blocks.where(F.col("block_start") + F.col("block_len") > offset).groupBy("stream_id").agg(F.lit(offset).cast("long").alias("at"))
+    bounds = bounds.withColumnRenamed("at", "lo")
     if offset_nl:
-        rest = rest.select("stream_id", _after_newline("data").alias("data"))
-    return _limited(rest, limit, limit_nl)
-
-
-def _limited(df: DataFrame, limit: int | None, nl: bool) -> DataFrame:
-    if limit is None:
-        return df
-    if not nl:
-        return df.select("stream_id", F.substr("data", F.lit(1), F.lit(limit)).alias("data"))
-    more = F.instr(F.decode(F.substr("data", F.lit(limit + 1), F.length("data")), "ISO-8859-1"), "\n")
-    return df.select("stream_id", F.when(more > 0, F.substr("data", F.lit(1), F.lit(limit) + more - 1)).otherwise(F.col("data")).alias("data"))
+        met = bounds.join(_newlines(blocks, bounds.withColumnRenamed("lo", "at")), "stream_id", "left")
+        bounds = met.select("stream_id", F.coalesce(F.col("nl") + 1, "lo").alias("lo"))
+    bounds = bounds.withColumn("hi", F.lit(None).cast("long") if limit is None else F.col("lo") + limit)
+    if limit_nl and limit is not None:
+        met = bounds.join(_newlines(blocks, bounds.select("stream_id", F.col("hi").alias("at"))), "stream_id", "left")
+        bounds = met.select("stream_id", "lo", F.col("nl").alias("hi"))
+    return _between(blocks, bounds)
 
 
 def tail(blocks: DataFrame, n: int, nl: bool = False, limit: int | None = None) -> DataFrame:
-    """The last n bytes of each stream (all of a shorter one); nl: from the next newline on."""
+    """The last n bytes of each stream (all of a shorter one), at most `limit` of them; nl: from the next newline on."""
     total = blocks.groupBy("stream_id").agg(F.max(F.col("block_start") + F.col("block_len")).alias("total"))
-    near = blocks.join(total, "stream_id").where(F.col("block_start") + F.col("block_len") > F.col("total") - n)
-    first = F.greatest(F.lit(0), F.col("total") - n - F.col("block_start"))
-    part = near.select("stream_id", F.struct("block_no", F.hex(F.substr("data", (first + 1).cast("int"), F.col("block_len"))).alias("h")).alias("p"))
-    out = part.groupBy("stream_id").agg(F.array_sort(F.collect_list("p")).alias("parts")).select("stream_id", _joined("parts").alias("data"))
-    out = out.select("stream_id", _after_newline("data").alias("data")) if nl else out
-    return _limited(out, limit, False)
+    bounds = total.select("stream_id", F.greatest(F.lit(0), F.col("total") - n).alias("lo"))
+    if nl:
+        met = bounds.join(_newlines(blocks, bounds.withColumnRenamed("lo", "at")), "stream_id", "left")
+        bounds = met.select("stream_id", F.coalesce(F.col("nl") + 1, "lo").alias("lo"))
+    return _between(blocks, bounds.withColumn("hi", F.lit(None).cast("long") if limit is None else F.col("lo") + limit))
 
 
 def read_byte(blocks: DataFrame, offset: int) -> DataFrame:

@@ -45,7 +45,10 @@ def scan(blocks: DataFrame, pattern: bytes | str) -> DataFrame:
 
 
 def search(blocks: DataFrame, pattern: bytes | str, tables: DataFrame | None = None, configs: Sequence[SearchConfig] | SearchConfig = (), block_size: int | None = None, bail: bool = False, shortest: int | None = None) -> DataFrame:
-    """scan() of the blocks that the tables don't rule out; the same rows, whatever the tables."""
+    """scan() of the blocks that the tables don't rule out; the same rows, whatever the tables.
+
+    Blocks that are not stored have been made, and so read, before the tables can rule them out; what saves reading is Store.search.
+    """
     pattern = checked(pattern)
     if tables is not None:
         if block_size is None:
@@ -108,7 +111,7 @@ def pattern_set(streams: DataFrame, patterns: DataFrame, id_col: str, data_col:
 
 
 def search_stats(blocks: DataFrame, tables: DataFrame, configs: Sequence[SearchConfig] | SearchConfig, pattern: bytes | str, block_size: int, shortest: int | None = None) -> DataFrame:
-    """One row on what a search reads and skips, and on the tables it goes by."""
+    """One row on the blocks that the tables rule out ("skipped") and leave, and on the tables themselves. blocks: keys and block_len."""
     pattern = checked(pattern)
     configs = [configs] if isinstance(configs, SearchConfig) else list(configs)
     kept = candidates(blocks, tables, configs, pattern, block_size, shortest=shortest)

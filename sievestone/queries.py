@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from .functions import scalar
 from .functions.patterns import SearchConfig
 from .operators import analytics, blocks, index, lines, ranges, search
 from .plans import pruning
+from .sources import store
 
 BLOCK = 512
-RARE, COMMON = "heoron", " the "
+RARE, COMMON = "erorer", " the "
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -47,13 +50,13 @@ def _hex(df: DataFrame) -> DataFrame:
     return df.select("stream_id", F.length("data").cast("long").alias("n"), F.md5(F.hex("data").cast("binary")).alias("digest"))
 
 
-def _hits_sql(source: str, pattern: str, key: str = "doc_id", text: str = "text") -> str:
+def _hits_sql(source: str, pattern: str, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> str:
     p = pattern.replace("'", "''")
     return f"""
     WITH d AS (SELECT {key} AS id, hex({text}) AS h, strlen({text}) AS n FROM {source} WHERE contains({text}, '{p}')),
     o AS (SELECT id, n, unnest(list_filter(range(0, n - strlen('{p}') + 1), lambda i: substr(h, 2 * i + 1, 2 * strlen('{p}')) = hex('{p}'))) AS pos FROM d)
-    SELECT id AS stream_id, pos AS stream_offset, pos // {BLOCK} AS block_no, pos % {BLOCK} AS offset_in_block,
-           pos % {BLOCK} + strlen('{p}') > least({BLOCK}, n - pos // {BLOCK} * {BLOCK}) AS straddles FROM o"""
+    SELECT id AS stream_id, pos AS stream_offset, pos // {block} AS block_no, pos % {block} AS offset_in_block,
+           pos % {block} + strlen('{p}') > least({block}, n - pos // {block} * {block}) AS straddles FROM o"""
 
 
 def _search(streams: DataFrame, pattern: str, *configs: SearchConfig) -> DataFrame:
@@ -219,7 +222,7 @@ def match_blocks(spark, sf_dir):
     return met.select("stream_id", "stream_offset", F.length("block").alias("own"), F.length("previous_block").alias("before"), F.length("following_block").alias("after"))
 
 
-@query("SELECT i AS win, i AS pos, hex(substr('heoron', i + 1, 4)) AS \"window\" FROM range(0, 3) t(i)")
+@query(f"SELECT i AS win, i AS pos, hex(substr('{RARE}', i + 1, 4)) AS \"window\" FROM range(0, 3) t(i)")
 def pattern_windows(spark, sf_dir):
     return search.pattern_windows(spark, SearchConfig(match_len=4), RARE).select("win", "pos", F.hex("window").alias("window"))
 
@@ -251,21 +254,62 @@ def pruning_is_sound(spark, sf_dir):
     return both.agg(F.count("*").alias("blocks"), F.count("holds").alias("holding"), F.count_if(F.col("holds") & F.col("kept").isNull()).alias("lost"), (F.count_if(F.col("kept").isNull()) > 0).alias("some_skipped"))
 
 
-@query()
+def _slot_sql(hexed: str, n: int) -> str:
+    """The slot of a window of n (at most 4) bytes, given in hex, before it is taken modulo the table's bits."""
+    value = " + ".join(f"('0x' || substr({hexed}, {2 * k + 1}, 2))::BIGINT * {1 << 8 * k}" for k in range(n))
+    return f"(({value}) * {scalar.SLOT_LOW} + {n}) % {scalar.SLOT_PRIME} % 512"
+
+
+def _tables_sql(overlap: int) -> str:
+    """t: the search tables of both configurations of search_tables(), their bits as a list. overlap: the bytes kept behind a block."""
+    plain = f"list_transform(range(k * {BLOCK}, least((k + 1) * {BLOCK}, n - 3)), lambda i: {_slot_sql('substr(h, 2 * i + 1, 8)', 4)})"
+    behind = f"list_transform(list_filter(range(k * {BLOCK}, least((k + 1) * {BLOCK}, n - 3)), lambda i: substr(h, 2 * i + 1, 2) = '20'), lambda i: {_slot_sql('substr(h, 2 * i + 3, 6)', 3)})"
+    return f"""
+    WITH d AS (SELECT doc_id, hex(text) AS h, strlen(text) AS n FROM documents WHERE strlen(text) > 0),
+    b AS (SELECT doc_id, h, n, unnest(range(0, (n - 1) // {BLOCK} + 1)) AS k FROM d),
+    s AS (SELECT doc_id, k, n, 0 AS c, list_distinct({plain}) AS slots, 25 AS lim, 4 AS need FROM b
+          UNION ALL SELECT doc_id, k, n, 1, list_distinct({behind}), 10, 3 FROM b),
+    f AS (SELECT *, list_distinct(list_transform(slots, lambda x: x % 256)) AS half FROM s WHERE len(slots) * 100 // 512 <= 70),
+    t AS (SELECT doc_id AS stream_id, k AS block_no, c AS config_id, len(half) * 100 <= 256 * lim AS folded, CASE WHEN len(half) * 100 <= 256 * lim THEN half ELSE slots END AS bits,
+          n <= (k + 1) * {BLOCK} OR least(n - (k + 1) * {BLOCK}, {overlap}) >= need AS has_overlap FROM f)"""
+
+
+_BITMAP_SQL = "array_to_string(list_transform(range(0, CASE WHEN folded THEN 32 ELSE 64 END), lambda j: printf('%02X', coalesce(list_sum(list_transform(list_filter(bits, lambda x: x // 8 = j), lambda x: 1 << (x % 8)::INTEGER))::INTEGER, 0))), '')"
+
+
+def _present_sql(k: int) -> str:
+    """Whether a table has the k-th window of RARE."""
+    slot = _slot_sql(f"hex('{RARE[k : k + 4]}')", 4)
+    return f"list_contains(bits, {slot} % CASE WHEN folded THEN 256 ELSE 512 END)"
+
+
+_HITS = ", ".join(f"{_present_sql(k)} AS p{k}" for k in range(3))
+
+
+@query(_tables_sql(4 + len(RARE)) + f"""
+    , o AS (SELECT *, {_HITS} FROM t WHERE config_id = 0),
+    m AS (SELECT doc_id, k, least({BLOCK}, n - k * {BLOCK}) AS size, x.p0 AS a0, x.p1 AS a1, x.p2 AS a2, x.has_overlap AS xo, y.p0 AS b0, y.p1 AS b1, y.p2 AS b2, y.has_overlap AS yo, (k + 1) * {BLOCK} >= n AS last
+          FROM b LEFT JOIN o x ON x.stream_id = doc_id AND x.block_no = k LEFT JOIN o y ON y.stream_id = doc_id AND y.block_no = k + 1),
+    r AS (SELECT size, coalesce(xo AND NOT a0, false) OR coalesce(xo AND (last OR yo) AND ((NOT a0 AND (last OR NOT b0)) OR (NOT a1 AND (last OR NOT b1)) OR (NOT a2 AND (last OR NOT b2))), false) AS out FROM m),
+    q AS (SELECT len(bits) * 100.0::DOUBLE / CASE WHEN folded THEN 256 ELSE 512 END AS p, folded, has_overlap FROM t WHERE config_id = 0)
+    SELECT (SELECT count(*) FROM r) AS blocks_total, (SELECT count_if(out) FROM r) AS blocks_skipped, (SELECT count_if(NOT out) FROM r) AS blocks_searched, (SELECT sum(size)::BIGINT FROM r) AS bytes_total,
+           (SELECT coalesce(sum(size) FILTER (out), 0)::BIGINT FROM r) AS bytes_skipped, count(*) AS tables, sum(CASE WHEN folded THEN 32 ELSE 64 END)::BIGINT AS table_bytes, min(p) AS population_min, max(p) AS population_max,
+           round(avg(p), 6) AS population_avg, round(avg(folded::INTEGER), 6) AS reductions_avg, count_if(NOT has_overlap) AS without_overlap, 1 AS usable_configs FROM q""")
 def search_statistics(spark, sf_dir):
     config = SearchConfig(match_len=4)
     cut = blocks.cut(doc_streams(spark, sf_dir), BLOCK, config.overlap + len(RARE))
-    return search.search_stats(cut, index.build_tables(cut, config, BLOCK), config, RARE, BLOCK)
+    stats = search.search_stats(cut, index.build_tables(cut, config, BLOCK), config, RARE, BLOCK)
+    return stats.withColumns({c: F.round(c, 6) for c in ("population_avg", "reductions_avg")})
 
 
-@query()
+@query(_tables_sql(4) + " " + " UNION ALL ".join(f"SELECT {k} AS win, {k} AS pos, hex('{RARE[k : k + 4]}') AS \"window\", count_if({_present_sql(k)}) AS present, count_if(NOT {_present_sql(k)}) AS absent FROM t WHERE config_id = 0" for k in range(3)))
 def window_statistics(spark, sf_dir):
     config = SearchConfig(match_len=4)
     cut = blocks.cut(doc_streams(spark, sf_dir), BLOCK, config.overlap)
     return search.window_stats(index.build_tables(cut, config, BLOCK), config, RARE, BLOCK).withColumn("window", F.hex("window"))
 
 
-@query()
+@query(_tables_sql(4) + f"SELECT stream_id, block_no, config_id, folded::INTEGER AS reductions, len(bits)::INTEGER AS popcount, CASE WHEN folded THEN 256 ELSE 512 END AS total_bits, has_overlap, {_BITMAP_SQL} AS bitmap FROM t")
 def search_tables(spark, sf_dir):
     configs = [SearchConfig(match_len=4), SearchConfig(match_len=3, config_id=1).with_byte_prefix(b" ")]
     cut = blocks.cut(doc_streams(spark, sf_dir), BLOCK, max(c.overlap for c in configs))
@@ -342,7 +386,9 @@ def thinned_index(spark, sf_dir):
     return ranges.thin_index(ranges.seek_index(blocks.cut(doc_streams(spark, sf_dir), BLOCK)), 2 * BLOCK + 1)
 
 
-@query()
+@query(f"""
+    SELECT page_id AS stream_id, to_json({{'total_uncompressed': strlen(html), 'est_block_uncompressed': strlen(html) // ((strlen(html) - 1) // {BLOCK} + 1),
+           'offsets': list_transform(range(0, strlen(html), {BLOCK}), lambda o: {{'compressed': o, 'uncompressed': o}})}})::VARCHAR AS json FROM pages WHERE strlen(html) > 0""")
 def index_json(spark, sf_dir):
     cut = blocks.cut(page_streams(spark, sf_dir), BLOCK)
     return ranges.index_json(ranges.seek_index(cut), blocks.totals(cut))
@@ -399,7 +445,12 @@ def longest_runs(spark, sf_dir):
     return analytics.longest_runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
-@query()
+@query("""
+    WITH b AS (SELECT source, lang, strlen(text) AS s, least(24, length(bin(greatest(strlen(text), 1))) - 1)::INTEGER AS bucket FROM documents),
+    t AS (SELECT source, count(*) AS count, sum(s)::BIGINT AS bytes, min(s) AS min, max(s) AS max FROM b GROUP BY ALL),
+    k AS (SELECT source, list({'kind': lang, 'count': n, 'bytes': y} ORDER BY lang) AS mix FROM (SELECT source, lang, count(*) AS n, sum(s)::BIGINT AS y FROM b GROUP BY ALL) GROUP BY ALL),
+    h AS (SELECT source, list({'bucket': bucket, 'count': n} ORDER BY bucket) AS histogram FROM (SELECT source, bucket, count(*) AS n FROM b GROUP BY ALL) GROUP BY ALL)
+    SELECT source, to_json({'count': count, 'bytes': bytes, 'min': min, 'max': max, 'mix': mix, 'histogram': histogram})::VARCHAR AS json FROM t JOIN k USING (source) JOIN h USING (source)""")
 def source_report(spark, sf_dir):
     return analytics.report(table(spark, sf_dir, "documents"), "source", "lang", F.octet_length("text"))
 
@@ -416,3 +467,35 @@ def scalar_functions(spark, sf_dir):
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '^[a-zA-Z]+://', ''), '[<>:\"/\\\\|?*]', '_', 'g') AS name FROM pages")
 def url_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scalar.url_file_name("url").alias("name"))
+
+
+_STORES: dict[tuple, str] = {}
+STORE_BLOCK, SELDOM = 1 << 14, "Apache License"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a store of all documents, written once in a session, with tables; beside it `side`, other tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        path = f"{store.shared_dir(spark)}/store-{uuid.uuid4().hex}"
+        store.write_store(doc_streams(spark, sf_dir), path, STORE_BLOCK, [SearchConfig(match_len=6)], parts=64)
+        store.add_tables(spark, path, [SearchConfig(match_len=5, config_id=3)], f"{path}/side")
+        _STORES[key] = path
+    return _STORES[key]
+
+
+@query(_hits_sql("documents", SELDOM, block=STORE_BLOCK))
+def stored_search(spark, sf_dir):
+    """Only the parts of the store are opened that the tables leave a block in."""
+    return store.Store(spark, _stored(spark, sf_dir)).search(SELDOM)
+
+
+@query(_hits_sql("documents", SELDOM, block=STORE_BLOCK))
+def stored_sidecar_search(spark, sf_dir):
+    path = _stored(spark, sf_dir)
+    return store.Store(spark, path, f"{path}/side").search(SELDOM, bail=True)
+
+
+@query("SELECT doc_id AS stream_id, strlen(text) AS n, md5(hex(text)) AS digest FROM documents WHERE strlen(text) > 0")
+def stored_read(spark, sf_dir):
+    return _hex(store.Store(spark, _stored(spark, sf_dir)).read())

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from . import codec
 
-# Fixed values of the format: chunk types, the stream identifier's text, the index's header and trailer, the checksum's constants.
+# Fixed values of the format: chunk types, the checksum's constants; the stream identifier's text and the index's marks are its own.
 LEGACY, UNCOMPRESSED, COMPRESSED, COMPRESSED_CRC, END, INDEX, PADDING, IDENTIFIER = 0x00, 0x01, 0x02, 0x03, 0x20, 0x40, 0xFE, 0xFF
-MAGIC = bytes([0x4D, 0x69, 0x6E, 0x4C, 0x7A])
-INDEX_HEAD, INDEX_TAIL = bytes([115, 50, 105, 100, 120, 0]), bytes([0, 120, 100, 105, 50, 115])
+MAGIC = b"Sieve"
+INDEX_HEAD, INDEX_TAIL = b"places", b"secalp"
 CRC_POLYNOMIAL, CRC_MASK = 0x82F63B78, 0xA282EAD8
 
 

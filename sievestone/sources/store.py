@@ -1,7 +1,12 @@
-"""A stored block table: streams, blocks, search tables and the seek index as Parquet data sets in one folder."""
+"""A stored block table: streams, blocks, search tables and the seek index as Parquet data sets in one folder.
+
+Blocks are dealt to parts by ranges of stream and place; a part is a folder with one file. A search goes by the tables and the blocks'
+keys alone (no bytes are read for that), and opens only the parts that have a block left.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +21,17 @@ CODECS = ("uncompressed", "snappy", "lz4_raw", "zstd", "gzip")
 CONFIG = "config_id int, table_type int, match_len int, base_log2 int, extras int, prefix_set binary, long_prefix binary, max_pop int, max_reduced_pop int"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own if Spark runs in this process alone, else an error."""
+    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not own:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = "file://" + tempfile.mkdtemp(prefix="sievestone-")
+        spark.conf.set("spark.checkpoint.dir", own)
+    return own.rstrip("/")
+
+
 def config_rows(spark: SparkSession, configs: Sequence[SearchConfig]) -> DataFrame:
     rows = [(c.config_id, c.table_type, c.match_len, c.base_log2, c.extras, c.prefixes, c.long_prefix, c.max_pop, c.max_reduced_pop) for c in configs]
     return spark.createDataFrame(rows, CONFIG)
@@ -29,16 +45,18 @@ def write_store(streams: DataFrame, path: str, block_size: int = b.DEFAULT_BLOCK
     """Cut streams into blocks and write them with their tables.
 
     Blocks are sorted by stream and place, so that range reads touch few row groups; next_head is stored with each block, so that searches
-    for up to max_pattern bytes need no other block. Tables are a data set of their own: a search reads them first.
+    for up to max_pattern bytes need no other block. Tables are a data set of their own: a search reads them first. parts: folders that
+    the blocks are dealt to, what a search can skip; as many as shuffle partitions unless said otherwise.
     """
     if codec not in CODECS:
         raise ValueError(f"codec is one of {CODECS}")
     spark = streams.sparkSession
     overlap = max([max_pattern - 1, *(c.overlap for c in configs)])
     cut = b.cut(streams, block_size, overlap)
-    dealt = cut.repartitionByRange(parts, "stream_id", "block_no") if parts else cut
-    dealt.sortWithinPartitions("stream_id", "block_no").write.mode(mode).option("compression", codec).parquet(f"{path}/blocks")
-    stored = spark.read.parquet(f"{path}/blocks")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut.repartitionByRange(parts, "stream_id", "block_no").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "stream_id", "block_no")
+    dealt.write.mode(mode).option("compression", codec).partitionBy("part").parquet(f"{path}/blocks")
+    stored = _blocks(spark, path).drop("part")
     spark.createDataFrame([(block_size, overlap, codec)], "block_size int, overlap int, codec string").write.mode(mode).parquet(f"{path}/format")
     ranges.seek_index(stored).write.mode(mode).parquet(f"{path}/seek_index")
     config_rows(spark, configs).write.mode(mode).parquet(f"{path}/configs")
@@ -56,6 +74,12 @@ def add_tables(spark: SparkSession, path: str, configs: Sequence[SearchConfig],
     index.build_tables(store.blocks, configs, store.block_size).write.mode("overwrite").option("compression", "zstd").parquet(f"{to}/tables")
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """All blocks, with their part; a store of empty streams has none."""
+    kinds = "stream_id long, block_no int, block_start long, block_len int, data binary, is_last boolean, next_head binary, part int"
+    return spark.read.schema(kinds).parquet(f"{path}/blocks")
+
+
 class Store:
     """A stored block table. sidecar: a folder with tables to go by instead of the store's own."""
 
@@ -67,7 +91,7 @@ class Store:
 
     @property
     def blocks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/blocks")
+        return _blocks(self.spark, self.path).drop("part")
 
     @property
     def tables(self) -> DataFrame | None:
@@ -77,26 +101,41 @@ class Store:
     def seek_index(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/seek_index")
 
+    def _open_keys(self, pattern: bytes | str, bail: bool) -> DataFrame:
+        """(stream_id, block_no, part) of the blocks that the tables don't rule out; reads tables and keys, no bytes."""
+        tables = self.tables if self.configs else self.spark.createDataFrame([], index.TABLES)
+        return candidates(_blocks(self.spark, self.path).select("stream_id", "block_no", "part"), tables, self.configs, pattern, self.block_size, bail)
+
     def candidates(self, pattern: bytes | str, bail: bool = False) -> DataFrame:
+        """Blocks of the parts that have a block left: those blocks, and what else is in these files. A number for each file is collected."""
         if not self.configs and not bail:
             return self.blocks
-        tables = self.tables if self.configs else self.spark.createDataFrame([], index.TABLES)
-        return candidates(self.blocks, tables, self.configs, pattern, self.block_size, bail)
+        parts = sorted(r.part for r in self._open_keys(pattern, bail).select("part").distinct().collect())
+        if not parts:
+            return self.blocks.limit(0)
+        return self._of_parts(parts)
+
+    def _of_parts(self, parts: list[int]) -> DataFrame:
+        kinds = _blocks(self.spark, self.path).schema
+        return self.spark.read.schema(kinds).option("basePath", f"{self.path}/blocks").parquet(*[f"{self.path}/blocks/part={k}" for k in parts]).drop("part")
 
     def search(self, pattern: bytes | str, bail: bool = False) -> DataFrame:
-        if len(checked(pattern)) - 1 > self.overlap:
-            whole = b.with_next_head(self.blocks.drop("next_head"), len(checked(pattern)) - 1, self.block_size)
-            return search.scan(whole.join(self.candidates(pattern, bail).select("stream_id", "block_no"), ["stream_id", "block_no"], "left_semi"), pattern)
+        pattern = checked(pattern)
+        if len(pattern) - 1 > self.overlap:
+            # Longer than what is stored behind a block: a stream's later blocks are needed with the parts'.
+            whole = b.with_next_head(self.blocks.drop("next_head"), len(pattern) - 1, self.block_size)
+            return search.scan(whole.join(self._open_keys(pattern, bail).select("stream_id", "block_no"), ["stream_id", "block_no"], "left_semi"), pattern)
         return search.scan(self.candidates(pattern, bail), pattern)
 
     def stats(self, pattern: bytes | str) -> DataFrame:
-        return search.search_stats(self.blocks, self.tables, self.configs, pattern, self.block_size)
+        """search_stats() of the blocks' keys and lengths, without their bytes."""
+        return search.search_stats(self.blocks.select("stream_id", "block_no", "block_len"), self.tables, self.configs, pattern, self.block_size)
 
     def read(self, offset: int = 0, limit: int | None = None, **aligned) -> DataFrame:
         return ranges.read_from(self.blocks, offset, limit, **aligned)
 
-    def tail(self, n: int, nl: bool = False) -> DataFrame:
-        return ranges.tail(self.blocks, n, nl)
+    def tail(self, n: int, nl: bool = False, limit: int | None = None) -> DataFrame:
+        return ranges.tail(self.blocks, n, nl, limit)
 
     def verify(self) -> DataFrame:
         """(stream_id, blocks, gaps): streams whose blocks don't follow each other without gaps up to a last one."""

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievestone.functions import scalar
-from sievestone.operators import analytics, blocks, lines, ranges
+from sievestone.functions.patterns import SearchConfig
+from sievestone.operators import analytics, blocks, index, lines, ranges
 
 TEXTS = [(1, "one\ntwo words\n\nlast"), (2, ""), (3, "no newline at all"), (4, "é\nñandú e\n"), (5, "\n\n\n"), (6, None)]
 
@@ -147,5 +148,21 @@ def test_sql_functions(spark):
     spark.createDataFrame(TEXTS, "id long, text string").createOrReplaceTempView("texts")
     got = spark.sql("SELECT id, pos FROM texts, LATERAL find_all(text, '\n') ORDER BY 1, 2").collect()
     assert [tuple(r) for r in got] == [(i, k) for i, d in RAW.items() for k, b in enumerate(d) if b == 10]
-    r = spark.sql("SELECT log2_bucket(1023), ratio_bucket(99, 100), ratio_bucket(1, 0), reduced_slot(1023, 10, 2), window_slot(CAST('ab' AS BINARY), 9) BETWEEN 0 AND 511").first()
-    assert tuple(r) == (9, 9, 10, 255, True)
+    r = spark.sql("SELECT log2_bucket(1023), ratio_bucket(99, 100), ratio_bucket(1, 0), reduced_slot(1023, 10, 2)").first()
+    assert tuple(r) == (9, 9, 10, 255)
+
+
+@pytest.mark.parametrize("match_len", [1, 3, 4, 5, 8])
+def test_slots_are_those_of_built_tables(spark, match_len):
+    """numpy, Column and SQL slots agree, and a built bitmap has exactly the bits of its windows' slots."""
+    from sievestone.functions.sql import register
+    from sievestone.functions.scalar import window_slot
+
+    register(spark)
+    raw = bytes((k * 37 + k // 7) % 256 for k in range(90))
+    config = SearchConfig(match_len=match_len, base_log2=12, max_pop=100, max_reduced_pop=0)
+    table = index.build_tables(blocks.cut(spark.createDataFrame([(1, raw)], "stream_id long, data binary"), 512, config.overlap), config, 512).first()
+    bits = {8 * k + b for k, byte in enumerate(bytes(table.bitmap)) for b in range(8) if byte >> b & 1}
+    windows = sorted({raw[i : i + match_len] for i in range(len(raw) - match_len + 1)})
+    rows = spark.createDataFrame([(w,) for w in windows], "w binary").select(window_slot("w", 12).alias("a"), F.expr("window_slot(w, 12)").alias("b"), "w").collect()
+    assert all(r.a == r.b == index.slot_of(bytes(r.w), 12) for r in rows) and {r.a % table.total_bits for r in rows} == bits

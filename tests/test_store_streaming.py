@@ -35,6 +35,21 @@ def test_store_round_trip(spark, streams, tmp_path):
     assert own.seek_index.count() == own.blocks.count()
 
 
+def test_search_opens_candidate_parts_only(spark, tmp_path):
+    """A search opens the files of parts with a block left, no others, and finds all; so does one by tables beside the store."""
+    rng = random.Random(10)
+    rows = [(i, bytes(rng.choice(b"abcdefgh") for _ in range(4000)) + (b"the needle" if i == 7 else b"")) for i in range(16)]
+    path, side = str(tmp_path / "main"), str(tmp_path / "side")
+    st.write_store(spark.createDataFrame(rows, "stream_id long, data binary"), path, 512, [SearchConfig(match_len=6, base_log2=14)], parts=16)
+    st.add_tables(spark, path, [SearchConfig(match_len=5, config_id=2, base_log2=14)], side)
+    everything = len(st.Store(spark, path).blocks.inputFiles())
+    for own in (st.Store(spark, path), st.Store(spark, path, side)):
+        hit = own.search(b"the needle", bail=True)
+        assert [(r.stream_id, r.stream_offset) for r in hit.collect()] == [(7, 4000)]
+        assert everything >= 12 and len(own.candidates(b"the needle").inputFiles()) <= 2
+        assert own.search(b"nowhere here").count() == 0 and own.candidates(b"nowhere here").count() == 0
+
+
 def test_files_and_sniffing(spark, tmp_path):
     (tmp_path / "a").mkdir()
     for name, raw in (("a/one.txt", b"\xffstream"), ("a/two.txt", b"\x00block"), ("three.txt", b"text"), ("four.bin", b"no")):
