@@ -288,15 +288,19 @@ def test_mixing_with_texts_without_words(spark):
 
 
 def test_mixing_keeps_expectations(spark):
-    """Over many seeds each document's mean number of copies is its source's rate."""
+    """Over many seeds each document's mean number of copies is its source's rate, as far as chance allows, and each source's words are its target."""
     made = docs_of(spark, [(i, "w " * (1 + i % 7), "a" if i < 60 else "b") for i in range(90)])
-    total = Counter()
-    for k in range(12):
+    copies, words_of, rate, target, seeds = Counter(), Counter(), {}, {}, 12
+    for k in range(seeds):
         for r in mixing.mix(made, seed=f"t{k}").collect():
-            total[r.source] += r.copies * r.size
-            rate = r.target / r.source_size
-            assert r.copies in (int(rate), int(rate) + 1)
-    assert total
+            rate[r.doc_id], target[r.source] = r.target / r.source_size, r.target
+            assert r.copies in (int(rate[r.doc_id]), int(rate[r.doc_id]) + 1)
+            copies[r.doc_id] += r.copies
+            words_of[r.source] += r.copies * r.size
+    open_ = {i: x % 1 for i, x in rate.items() if 0.01 < x % 1 < 0.99}
+    spread = sum((copies[i] / seeds - rate[i]) ** 2 * seeds / (p * (1 - p)) for i, p in open_.items())
+    assert open_ and spread < 1.8 * len(open_)
+    assert all(abs(words_of[s] / seeds - t) <= 7 for s, t in target.items())
 
 
 # 4
