@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import IDS_MOST, drop_saved, saved, small_batches, with_ids
+from .storage import drop_saved, saved, small_batches, with_ids
 from .tokens import mix, shingle_sets, words
 
 #: A shingle in more classes than this comes last in the global order, as does any with the same last HEAVY_BITS bits: the bitmap of
@@ -375,18 +375,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     group = saved(components(links), "groups")
 
     prefixes, drop = _prefixes(docs, heads, spare, k, percent, id_col, text_col)
-    few = group.limit(IDS_MOST + 1).count() <= IDS_MOST
-    grouped = group.withColumnRenamed("node", "id")
-    placed = prefixes.join(F.broadcast(grouped) if few else grouped, "id", "left").select("id", "n", F.coalesce("component", "id").alias("g"), F.explode("s").alias("token"))
+    # Shingles of one class alone, nearly all, go before anything else is known of them.
+    tokens = prefixes.select("id", F.explode("s").alias("token"))
+    several = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    common = saved(tokens.join(several, "token", "left_semi").select("token", "id"), "common")
+    member = heads.select("id", "n").join(group.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("g"))
+    placed = saved(common.join(member, "id").select("token", "id", "n", "g"), "placed")
     ends = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("df")).where("g0 < g1")
-    split = saved(ends.select(F.col("token").alias("id"), "df"), "split")
-    rest = saved(with_ids(placed, split.where(F.col("df") <= HOT_DF), "left_semi", "token"), "rest")
+    split = saved(ends.select("token", "df"), "split")
+    rest = saved(placed.join(split.where(F.col("df") <= HOT_DF), "token", "left_semi"), "rest")
     other = rest.select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"))
     met = saved(rest.join(other, "token").where(f"g < ag AND {near}").select("a", F.col("id").alias("b")).distinct(), "met")
     left = saved(_possible(met, heads, percent).join(probes, ["a", "b"], "left_anti").join(probes.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "left")
     hot = split.where(F.col("df") > HOT_DF)
     if not hot.isEmpty():
-        hot = saved(with_ids(placed, hot, "left_semi", "token").select("token", "id", "g"), "hot")
+        hot = saved(placed.join(hot, "token", "left_semi").select("token", "id", "g"), "hot")
         links = links.unionByName(_branch_links(hot, docs, k, percent, id_col, text_col))
         drop_saved(hot)
     whole = _sets_of(docs, left, k, percent, id_col, text_col)
@@ -394,7 +397,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     # An id with several texts ties their classes.
     ties = copies.select(F.col("id").alias("a"), F.col("root").alias("b")).join(full.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("id").alias("a")), "a")
     names = saved(components(links.unionByName(more).unionByName(ties)), "groups")
-    for t in [*drop, whole, split, rest, met, left, probes, group, more, copies]:
+    for t in [*drop, whole, split, common, placed, rest, met, left, probes, group, more, copies]:
         drop_saved(t)
     by_class = classes.join(names.withColumnRenamed("node", "root"), "root", "left").select("n", "d1", "d2", F.coalesce("component", "root").alias("component_id"))
     out = table.select("id", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left")
