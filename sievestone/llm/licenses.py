@@ -61,7 +61,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE, id_
 
     Lines end at \\n and are numbered from 1. Dice is 2 * shared / (own + template's) over distinct bigrams of normalised words. Ties go
     to the template listed first (template counts from 0). Lines and texts without a bigram (null, empty, one word) match none.
-    Rows are looked at alone: repeated rows give repeated results, a null id stays null.
+    Rows are looked at alone: repeated rows give repeated results, a null id stays null. No other column of docs is looked at.
 
     A notice that is wrapped over lines, or that stands inside a longer line, is a passage: a run of words of the whole text, from one of a
     template's bigrams to another, with a coefficient of `least` or more. line_no is the line it starts in. Passages that meet a line

@@ -142,7 +142,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHAR
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns as they are, with each row as often as the mix has copies of it."""
+    """docs, all columns as they are, whatever their names, with each row as often as the mix has copies of it; no rows give none."""
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
     decided = saved(mix(docs, **options).select("doc_id", "source", "size", "copy", "copies"), "decided")
     size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")

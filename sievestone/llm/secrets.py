@@ -132,7 +132,11 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
 
 def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of find_secrets()."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of find_secrets(): a row for each row of docs.
+
+    Null and empty texts have no spans: counts 0, the digest of the empty string, spans ''. Repeated rows repeat, a null id stays null, no
+    rows give none. No other column of docs is looked at.
+    """
     found = find_secrets(docs, RULES, id_col, text_col).select("doc_id", F.arrays_zip("kinds", "starts", "ends").alias("m"))
     line = lambda m: F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["kinds"], x["starts"], x["ends"])), ",")
     base = F.filter("m", lambda x: x["kinds"].isin(*BASE))

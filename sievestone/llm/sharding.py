@@ -17,6 +17,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     may change places, which changes nothing. Row r goes to the shard in which the middle of its bytes lies when all bytes
     are cut at equal targets, so a shard differs from its target by less than the largest row. slot counts from 0 in each
     shard, in the same order. The checksum of a null text is that of an empty one. No rows give no rows.
+    No other column of docs is looked at.
 
     Rows are range-partitioned; the partitions' totals (a row each) give the offset that each partition starts from. Only
     ids, sizes and checksums are shuffled, never texts.

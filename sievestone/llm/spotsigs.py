@@ -99,7 +99,7 @@ def edit_report(docs: DataFrame, chain: int = CHAIN, id_col: str = "doc_id", tex
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). The last half of the code
     points, rounded down, is replaced by the first as many (or all) of the next document's, in descending order of id. Null
     texts are empty. Equal rows are one document, with equal results; different texts under one id follow each other.
-    A single document follows itself.
+    A single document follows itself. No rows give none; no other column of docs is looked at.
 
     Each text is shuffled once, and its part that goes to its predecessor once more, with its signatures.
     """

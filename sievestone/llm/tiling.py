@@ -190,7 +190,7 @@ def tile_passages(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE,
 
     Passages and texts without words (null, empty) match nothing. A passage of fewer than `least` words must occur whole.
     Repeated passages, and rows with equal ids, each have rows of their own; a null id stays null. Whole texts are read.
-    The passages are the stated query set: they go to the executors in blocks of bounded size. No document is shuffled.
+    No other column is looked at. The passages are the stated query set: they go to the executors in blocks of bounded size. No document is shuffled.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
@@ -214,7 +214,7 @@ def tile_passages(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, coverage: float = COVERAGE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, that hold no passage."""
+    """The rows of docs, all columns as they are, that hold no passage; null and empty texts stay, as do all rows if there are no passages."""
     at = docs.columns.index(text_col)
     for block in _blocks(benchmark, item_id, item_text, least):
 

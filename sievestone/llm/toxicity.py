@@ -190,7 +190,13 @@ def is_held_out(id_col="doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Scorer:
-    """A scorer from labelled documents that aren't held out. Without any, it knows the lexicon only."""
+    """A scorer from labelled documents that aren't held out. Without any, it knows the lexicon only.
+
+    At most fit_rows labelled ids are used, those of least hash. A label other than 0 and 1, or of a null id, is left out; of an id's
+    labels the greatest counts. Null texts are empty. No other column of docs or labels is looked at.
+
+    Correlated voters are merged (by how far their votes, given the class, depend on each other) rather than modelled by terms of their own.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
     known = known.where(~is_held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
@@ -270,7 +276,11 @@ def _mine(rows: DataFrame, negative: int, positive: int) -> list[int]:
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row. Null and empty texts get the score of a text without votes."""
+    """(doc_id, held_out, score, predicted) for each row. Null and empty texts get the score of a text without votes.
+
+    Rows are scored by themselves: repeated rows have equal scores, no rows give none; a null id is kept and counts as held out. Texts
+    are read whole. No other column of docs is looked at, whatever its name.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
