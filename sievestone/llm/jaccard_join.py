@@ -255,6 +255,11 @@ def _compare(rows, percent: int, all_pairs: bool):
         yield _links(groups.found)
 
 
+def _tasks(df: DataFrame) -> int:
+    """A fixed number, as the work isn't in proportion to the bytes that adaptive execution would go by."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int, all_pairs: bool = False) -> DataFrame:
     """Links that join the groups of the pairs (a, b) whose sets (id, s) are similar; with all_pairs, of the b's of one a among each other
     as well. b's are spread over several tasks where a has very many; in different tasks, or tries, they meet a only."""
@@ -263,7 +268,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int, all_pairs: bo
     salted = salted.join(many, "a").select("a", "b", (F.col("salt") % F.col("parts")).alias("salt"))
     others = salted.join(sets.select(F.col("id").alias("b"), "s"), "b").select("a", "b", "s", "salt")
     own = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", F.lit(None).cast("long").alias("b"), "s", "salt")
-    dealt = others.unionByName(own).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    dealt = others.unionByName(own).repartition(_tasks(sets), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return dealt.select("a", "b", "s", "salt").mapInArrow(lambda rows: _compare(rows, percent, all_pairs), "a long, b long")
 
 
@@ -319,7 +324,7 @@ def _branch_links(hot: DataFrame, docs: DataFrame, k: int, percent: int, id_col:
     stored = dealt.where("g <> top").select("branch", dealt_by("blocks").alias("block"), each("parts").alias("part"), F.lit(0).alias("late"), "id", "g")
     walking = dealt.select("branch", each("blocks").alias("block"), dealt_by("parts").alias("part"), F.lit(1).alias("late"), "id", "g")
     whole = _whole_sets(docs, dealt.select("id").distinct(), k, percent, id_col, text_col)
-    met = stored.unionByName(walking).join(whole, "id").select("branch", "block", "part", "late", "id", "g", "s").repartition("branch", "block", "part").sortWithinPartitions("branch", "block", "part", "late")
+    met = stored.unionByName(walking).join(whole, "id").select("branch", "block", "part", "late", "id", "g", "s").repartition(_tasks(docs), "branch", "block", "part").sortWithinPartitions("branch", "block", "part", "late")
     out = saved(met.mapInArrow(lambda rows: _compare_blocks(rows, percent), "a long, b long"), "linked")
     for t in (whole, member, top):
         drop_saved(t)
