@@ -377,7 +377,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     whole = _sets_of(docs, probes, k, percent, id_col, text_col)
     links = saved(similar_pairs(probes, whole, percent, True), "linked")
     drop_saved(whole)
-    group = saved(components(links), "groups")
+    group = saved(components(links, python=True), "groups")
 
     prefixes, drop = _prefixes(docs, heads, spare, k, percent, id_col, text_col)
     # Shingles of one class alone, nearly all, go before anything else is known of them.
@@ -401,7 +401,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     more = saved(similar_pairs(left, whole, percent), "linked")
     # An id with several texts ties their classes.
     ties = copies.select(F.col("id").alias("a"), F.col("root").alias("b")).join(full.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("id").alias("a")), "a")
-    names = saved(components(links.unionByName(more).unionByName(ties)), "groups")
+    names = saved(components(links.unionByName(more).unionByName(ties), python=True), "groups")
     for t in [*drop, whole, split, common, placed, rest, met, left, probes, group, more, copies]:
         drop_saved(t)
     by_class = classes.join(names.withColumnRenamed("node", "root"), "root", "left").select("n", "d1", "d2", F.coalesce("component", "root").alias("component_id"))
