@@ -605,6 +605,30 @@ def test_families_that_share_keys_are_all_found(spark, monkeypatch):
     assert {(r.doc_id, r.partner_id) for r in got} == {(i, i ^ 1) for i in range(24)}
 
 
+def test_settled_passages_of_different_classes_are_compared(spark, monkeypatch):
+    """A chain of four texts, a word apart each: the two in the middle are found with the outer ones under keys of their own, and with each
+    other though both are in passages already. The first text of their common key is near to none."""
+    rng = np.random.default_rng(18)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    base = some(60)
+    edited = lambda *at: " ".join("other" if k in at else w for k, w in enumerate(base))
+    texts = [edited(20), edited(), edited(30), edited(30, 40), *(" ".join(some(60)) for _ in range(40))]
+    unit = [r.u for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.xxhash64("t").alias("u")).orderBy("i").collect()]
+    strange = min(range(4, len(texts)), key=lambda i: unit[i])
+    assert unit[strange] < min(unit[:4])
+
+    def keys(batches, least, needed):
+        if unit[0] in {u for b in batches for u in b.column(0).to_pylist()}:
+            every = [(unit[i], key) for key, members in ((1, (0, 1)), (2, (2, 3)), (3, (strange, 1, 2))) for i in members]
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(x), pa.int64()) for x in zip(*every)), *(pa.array([x] * len(every), pa.int32()) for x in (0, 8, 8, 55))], ["unit", "key", "l", "low", "high", "r"])
+
+    monkeypatch.setattr(substring_dedup, "_joint", keys)
+    for block in (2048, 1):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        got = substring_dedup.repeated_passages(docs_of(spark, [(i + 10, t, "s") for i, t in enumerate(texts)])).collect()
+        assert {(r.doc_id, r.partners, r.component_id) for r in got} == {(10, 1, 10), (11, 2, 10), (12, 2, 10), (13, 1, 10)}
+
+
 def test_passages_at_the_threshold_share_a_key():
     """Measured recall of the candidates: pairs of Jaccard 46 / 56 inside other text share a key in at least 95 % of cases."""
     rng, least, met, sure = np.random.default_rng(15), 46, 0, 600
