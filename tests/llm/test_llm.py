@@ -629,6 +629,27 @@ def test_settled_passages_of_different_classes_are_compared(spark, monkeypatch):
         assert {(r.doc_id, r.partners, r.component_id) for r in got} == {(10, 1, 10), (11, 2, 10), (12, 2, 10), (13, 1, 10)}
 
 
+def test_scores_rule_out_pairs_only_without_a_passage():
+    """The best score around places is that of brute force, and texts with a near passage there have scores of 0 or more together."""
+    rng, low_of = np.random.default_rng(19), -(1 << 60)
+    for _ in range(400):
+        n, least = int(rng.integers(3, 30)), int(rng.integers(2, 8))
+        hits, low = rng.random(n) < 0.8, int(rng.integers(0, n))
+        high = int(rng.integers(low, n))
+        over, lowest, best = substring_dedup._scores(hits, 80, least)
+        score = {(s, e): int(180 * hits[s:e].sum() - 160 * (e - s)) for s in range(n) for e in range(s + least, n + 1)}
+        assert best == max(score.values(), default=low_of)
+        assert substring_dedup._around(over, lowest, low, high, least) == max((v for (s, e), v in score.items() if s <= low and high < e), default=low_of)
+    for _ in range(200):
+        a = np.arange(60, dtype=np.uint64)
+        b = a.copy()
+        at = rng.integers(0, 60, rng.integers(0, 9))
+        b[at] = 100 + at
+        sides = [substring_dedup._scores(np.isin(x, y), 80, 46) for x, y in ((a, b), (b, a))]
+        for s, e, s2, e2, _ in substring_dedup.common_passages(a, b, 46, 80):
+            assert substring_dedup._around(*sides[0][:2], s, e - 1, 46) + substring_dedup._around(*sides[1][:2], s2, e2 - 1, 46) >= 0
+
+
 def test_passages_at_the_threshold_share_a_key():
     """Measured recall of the candidates: pairs of Jaccard 46 / 56 inside other text share a key in at least 95 % of cases."""
     rng, least, met, sure = np.random.default_rng(15), 46, 0, 600
