@@ -495,6 +495,17 @@ def test_lines_of_one_family_in_blocks(spark, monkeypatch):
     assert groups and got == {x for g in groups for x in sorted({y for y, _, _ in g})[1:]}
 
 
+def test_lines_of_several_keys_are_compared_once(spark):
+    """What a key's first line wasn't near to isn't compared with it once more; two lines with several keys meet under one of them."""
+    names = {1: "a b c d", 2: "e f g h", 3: "e f g i"}
+    made = lambda rows: spark.createDataFrame(rows, "key long, k1 long, lead long")
+    named = spark.createDataFrame([(k, f"c{k}", f"c{k}") for k in names], "k1 long, c string, g string")
+    known = spark.createDataFrame([(k, f"c{k}", t) for k, t in names.items()], "k1 long, c string, norm string")
+    assert line_dedup._rest(made([(7, 1, 1), (7, 2, 1), (8, 1, 1), (8, 3, 1)]), named, known, 0.8) is None
+    got = line_dedup._rest(made([(key, k, 1) for key in (7, 8, 9) for k in names]), named, known, 0.8)
+    assert [tuple(sorted((r.a, r.b))) for r in got.collect()] == [("c2", "c3")]
+
+
 def test_line_groups(spark, empty, odd):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
