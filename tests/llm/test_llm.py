@@ -661,6 +661,38 @@ def test_scores_rule_out_pairs_only_without_a_passage():
             assert substring_dedup._around(*sides[0][:2], s, e - 1, 46) + substring_dedup._around(*sides[1][:2], s2, e2 - 1, 46) >= 0
 
 
+def test_bounds_of_texts_that_repeat_themselves():
+    rng = random.Random(31)
+    for k in range(300):
+        base = [rng.randrange(1, 40 if k % 2 else 400) for _ in range(rng.randrange(46, 130))]
+        made = []
+        for _ in range(2):
+            x = [rng.randrange(1, 400) if rng.random() < 0.05 else z for z in base]
+            x = [rng.randrange(500, 600) for _ in range(rng.randrange(30))] + x
+            made.append(np.array(x + x[: rng.randrange(40)], np.uint64))
+        for x in made:
+            assert substring_dedup._fewest(x, 46) == min(len(set(x[i : i + 46].tolist())) for i in range(len(x) - 45))
+        a, b = made
+        held = substring_dedup._Held([(1, 0, b)])
+        best = sum(substring_dedup._scores(np.isin(x, y), 80, 46, substring_dedup._times(x))[2] for x, y in ((a, b), (b, a)))
+        if list(substring_dedup.common_passages(a, b, 46, 80)):
+            assert best >= 0 and list(held.near(2, a, 46, 80)) == [0]
+    assert substring_dedup._fewest(np.arange(20, dtype=np.uint64), 46) == 20 and substring_dedup._fewest(np.zeros(0, np.uint64), 46) == 0
+
+
+def test_texts_that_repeat_themselves_are_not_aligned_in_vain(monkeypatch):
+    calls, aligned = [], substring_dedup.common_passages
+    monkeypatch.setattr(substring_dedup, "common_passages", lambda *x: calls.append(1) or aligned(*x))
+    line = list(range(12))
+    texts = [np.array((line + list(range(1000 * k, 1000 * k + 30))) * 2, np.uint64) for k in range(1, 21)]
+    texts += [np.array(x + line, np.uint64) for x in ([*range(9000, 9060)], [*range(9000, 9060)])]
+    at, flag = np.zeros(1, np.int32), np.ones(1, bool)
+    cell = substring_dedup._Cell([(0, k, k, 0, x, np.array([7]), at, at + 11 if k < 20 else at + 59, flag.copy()) for k, x in enumerate(texts)], False)
+    assert {(k, y) for k, y, _ in cell.passages(46, 80)} == {(20, 21)} and len(calls) == 1
+    held = substring_dedup._Held([(k, 0, x) for k, x in enumerate(texts)])
+    assert list(held.near(21, texts[21], 46, 80)) == [20] and list(held.near(0, texts[0], 46, 80)) == []
+
+
 def test_passages_at_the_threshold_share_a_key():
     """Measured recall of the candidates: pairs of Jaccard 46 / 56 inside other text share a key in at least 95 % of cases."""
     rng, least, met, sure = np.random.default_rng(15), 46, 0, 600
