@@ -67,14 +67,14 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE, id_
     template's bigrams to another, with a coefficient of `least` or more. line_no is the line it starts in. Passages that meet a line
     that matches by itself are left out; of passages that meet, the one with the highest coefficient is given (of equal ones, that of the longer template).
 
-    By its number of words alone, a line too short or too long for every template is left out before bigrams are made; of the
+    A text without any of the templates' longest words holds none of them, and isn't cut. By its number of words alone, a line too short or too long for every template is left out before bigrams are made; of the
     rest, a template is compared only if its size and the line's allow the coefficient. The templates are part of the plan.
     """
     known = [(name, bigrams(normalised_words(text))) for name, text in templates]
     ratio = least / (2 - least)
     shortest = min(len(b) for _, b in known) * ratio
     longest = max(len(b) for _, b in known) / ratio
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("at", "line"))
+    lines = _likely(docs, known, ratio, id_col, text_col).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     # A word takes at least one character and a space; a line of w words has at most w - 1 distinct bigrams.
     lines = lines.where(F.length("line") >= 2 * shortest + 1)
     first = sorted({w for _, b in known for w in b})
@@ -101,7 +101,15 @@ def _needed_words(known, ratio: float) -> list[str]:
     for _, b in known:
         ranked = sorted(b, key=lambda x: (-max(map(len, x.split(" "))), x))
         out |= {max(x.split(" "), key=len) for x in ranked[: len(b) - max(1, math.ceil(len(b) * ratio - 1e-9)) + 1]}
-    return sorted(out)
+    # Where a word is inside another, a text with that has it too.
+    return sorted(x for x in out if not any(y in x for y in out if y != x))
+
+
+def _likely(docs: DataFrame, known, ratio: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, low) of the texts that have one of the needed words; low is the text in lower case, made once."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("doc_id", "text", F.explode(F.array(F.lower("text"))).alias("low"))
+    return rows.where(functools.reduce(lambda a, b: a | b, [F.col("low").contains(x) for x in _needed_words(known, ratio)]))
 
 
 def _passages(docs: DataFrame, known, least: float, id_col: str, text_col: str) -> DataFrame:
@@ -109,8 +117,7 @@ def _passages(docs: DataFrame, known, least: float, id_col: str, text_col: str)
     that its template's largest number of distinct bigrams needs."""
     ratio = least / (2 - least)
     bound = lambda c: F.explode(F.array(c))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", bound(F.lower("text")).alias("low")).where(functools.reduce(lambda a, b: a | b, [F.col("low").contains(x) for x in _needed_words(known, ratio)]))
+    rows = _likely(docs, known, ratio, id_col, text_col)
     each = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.transform(words(x), lambda y: F.struct(y.alias("w"), (i + 1).alias("line")))))
     cut = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), bound(each).alias("w")).where(F.size("w") > 1)
     pair = lambda x, i: F.struct(F.concat_ws(" ", x["w"], F.get("w", i + 1)["w"]).alias("b"), x["line"].alias("line"), F.get("w", i + 1)["line"].alias("last"))

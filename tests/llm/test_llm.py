@@ -408,6 +408,22 @@ def test_wrapped_and_embedded_notices(spark):
     assert got == [(0, 3, 3), (1, 2, 7), (2, 1, 1), (3, 2, 0), (7, 3, 21)]
 
 
+def test_lines_are_cut_from_likely_texts_only(spark, monkeypatch):
+    rng, known = random.Random(5), [(name, licenses.bigrams(licenses.normalised_words(text))) for name, text in licenses.TEMPLATES]
+    needed = licenses._needed_words(known, 0.8 / 1.2)
+    assert not any(x != y and x in y for x in needed for y in needed)
+    for name, text in licenses.TEMPLATES * 20:
+        own = licenses.normalised_words(text)
+        theirs, line = set(licenses.bigrams(own)), [w for w in own if rng.random() > 0.1]
+        mine = set(licenses.bigrams(line))
+        if 2 * len(mine & theirs) >= 0.8 * (len(mine) + len(theirs)):
+            assert any(x in w for x in needed for w in line)
+    made = docs_of(spark, [(1, "some text\nReleased UNDER the MIT license\nmore", "s")])
+    assert licenses.scan_licenses(made).count() == 1
+    monkeypatch.setattr(licenses, "_needed_words", lambda known, ratio: ["unheard"])
+    assert licenses.scan_licenses(made).count() == 0
+
+
 def test_license_edges(spark):
     """Repeated rows repeat results, ties go to the first template, long texts are read to the end, clashing columns change nothing."""
     long = "word " * 300_000 + "\nReleased under the MIT license\n" + "tail " * 100
