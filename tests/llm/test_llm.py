@@ -522,6 +522,17 @@ def test_lines_of_several_keys_are_compared_once(spark):
     assert [tuple(sorted((r.a, r.b))) for r in got.collect()] == [("c2", "c3")]
 
 
+def test_few_lines_are_compared_by_several_tasks(spark, monkeypatch):
+    tasks, saved = {}, line_dedup.saved
+    monkeypatch.setattr(line_dedup, "saved", lambda df, name: tasks.update({name: df.rdd.getNumPartitions()}) or saved(df, name))
+    names = [f"n{k}" for k in range(1, 7)]
+    met = spark.createDataFrame([(key, k, 1) for key in range(9) for k in range(1, 7)], "key long, k1 long, lead long")
+    named = spark.createDataFrame([(k, c, c) for k, c in enumerate(names, 1)], "k1 long, c string, g string")
+    known = spark.createDataFrame([(k, c, "some line of words") for k, c in enumerate(names, 1)], "k1 long, c string, norm string")
+    assert line_dedup._rest(met, named, known, 0.8).count() > 0
+    assert tasks["links"] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_line_groups(spark, empty, odd):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
