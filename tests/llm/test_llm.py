@@ -522,6 +522,27 @@ def test_lines_of_several_keys_are_compared_once(spark):
     assert [tuple(sorted((r.a, r.b))) for r in got.collect()] == [("c2", "c3")]
 
 
+def test_lines_of_other_letters_are_not_compared(spark, monkeypatch):
+    """Lines of a key whose letters are too far apart go without an edit distance; what is left out that way is never near."""
+    texts = ["some line of words", "abcd efgh ijkl mnop", "ponm lkji hgfe dcba", "qrst uvwx yzqr stuv", "abcd efgh ijkl mnop and much more behind"]
+    known = spark.createDataFrame([(k, f"c{k}", t) for k, t in enumerate(texts)], "k1 long, c string, norm string")
+    named = known.selectExpr("k1", "c", "c AS g")
+    met = spark.createDataFrame([(7, k, 0) for k in range(len(texts))], "key long, k1 long, lead long")
+    monkeypatch.setattr(line_dedup, "close", lambda x, y, least: F.lit(True))
+    assert [tuple(sorted((r.a, r.b))) for r in line_dedup._rest(met, named, known, 0.8).collect()] == [("c1", "c2")]
+
+    rng = random.Random(36)
+    text = lambda n: "".join(rng.choice("abz é7ß𝄞") for _ in range(n))
+    pairs = []
+    for _ in range(300):
+        x = text(rng.randrange(1, 30))
+        at = rng.randrange(len(x))
+        pairs.append((x, rng.choice([text(rng.randrange(1, 30)), x[:at] + text(2) + x[at + rng.randrange(3) :]])))
+    apart = line_dedup._letters_apart(line_dedup._letters(F.col("x")), line_dedup._letters(F.col("y")))
+    got = spark.createDataFrame(pairs, "x string, y string").select(apart.alias("apart"), F.levenshtein("x", "y").alias("d")).collect()
+    assert all(r.apart <= 2 * r.d for r in got) and any(r.apart == 2 * r.d > 0 for r in got)
+
+
 def test_few_lines_are_compared_by_several_tasks(spark, monkeypatch):
     tasks, saved = {}, line_dedup.saved
     monkeypatch.setattr(line_dedup, "saved", lambda df, name: tasks.update({name: df.rdd.getNumPartitions()}) or saved(df, name))
