@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import LONG_PREFIX, PLAIN, SearchConfig
 from ..functions.scalar import SLOT_HIGH, SLOT_LOW, SLOT_PRIME, auto_table_log2
+from ..session import small_batches
 
 TABLES = "stream_id long, block_no int, config_id int, reductions int, popcount int, total_bits int, has_overlap boolean, bitmap binary"
 MIN_BYTES = 32
@@ -94,6 +95,7 @@ def build_tables(blocks: DataFrame, configs: Sequence[SearchConfig] | SearchConf
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["stream_id", "block_no", "config_id", "reductions", "popcount", "total_bits", "has_overlap", "bitmap"])
 
+    small_batches(blocks.sparkSession)
     return blocks.select("stream_id", "block_no", "data", "next_head", "is_last").mapInArrow(build, TABLES)
 
 

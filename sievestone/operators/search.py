@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import SearchConfig, checked
 from ..plans.pruning import candidates, usable_configs
+from ..session import small_batches
 
 MATCHES = "stream_id long, stream_offset long, block_no int, offset_in_block int, straddles boolean"
 
@@ -41,6 +42,7 @@ def scan(blocks: DataFrame, pattern: bytes | str) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["stream_id", "stream_offset", "block_no", "offset_in_block", "straddles"])
 
+    small_batches(blocks.sparkSession)
     return near.mapInArrow(find, MATCHES)
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,28 @@ def test_search_opens_candidate_parts_only(spark, tmp_path):
         assert own.search(b"nowhere here").count() == 0 and own.candidates(b"nowhere here").count() == 0
 
 
+def test_python_gets_small_batches(spark, tmp_path, monkeypatch):
+    """Batches that go to Python are bounded by bytes, not by rows alone, where tables are built and where blocks are scanned."""
+    frame, sizes = type(spark.range(0)), []
+
+    def noted(df, f, schema):
+        def sized(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes], pa.int64())})
+
+        sizes.append(plain(df.coalesce(1), sized, "bytes long").agg(F.max("bytes"), F.sum("bytes")).first())
+        return plain(df, f, schema)
+
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", noted)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(8).select(F.col("id").alias("stream_id"), F.encode(F.expr("repeat('needle and hay ', 150000)"), "UTF-8").alias("data"))
+    st.write_store(rows, str(tmp_path / "s"), 1 << 14, [SearchConfig(match_len=4)], parts=2)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert st.Store(spark, str(tmp_path / "s")).search(b"needle and hay").count() == 8 * 150000
+    assert len(sizes) == 2 and all(most < 6 << 20 < total for most, total in sizes)
+
+
 def test_files_and_sniffing(spark, tmp_path):
     (tmp_path / "a").mkdir()
     for name, raw in (("a/one.txt", b"\xffstream"), ("a/two.txt", b"\x00block"), ("three.txt", b"text"), ("four.bin", b"no")):
