@@ -543,6 +543,30 @@ def test_lines_of_other_letters_are_not_compared(spark, monkeypatch):
     assert all(r.apart <= 2 * r.d for r in got) and any(r.apart == 2 * r.d > 0 for r in got)
 
 
+def test_close_lines_by_words_or_one_distance(spark):
+    """Words give a bound on the edit distance that is never too low; with it, or with one edit distance, close() is exact."""
+    rng = random.Random(37)
+    words = ["a", "the", "of", "thing", "another", "something", "é", "zwölf", *("".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 10))) for _ in range(60))]
+    pairs = []
+    for _ in range(400):
+        x = [rng.choice(words) for _ in range(rng.randrange(1, 60))]
+        y = list(x)
+        for _ in range(rng.randrange(0, 8)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(3)] = [rng.choice(words) for _ in range(rng.choice([0, 1, 1, 9]))]
+        pairs.append((" ".join(x), " ".join(y)))
+    near = line_dedup.close(F.col("x"), F.col("y"), 0.8)
+    bound = line_dedup.let(F.split("x", " "), lambda u: line_dedup.let(F.split("y", " "), lambda v: line_dedup.aligned(u, v)))
+    made = spark.createDataFrame(pairs, "x string, y string").select("x", "y", near.alias("near"), bound.alias("bound"), F.levenshtein("x", "y").alias("d"))
+    got = made.collect()
+    assert all(r.d <= r.bound for r in got) and any(0 < r.d == r.bound for r in got)
+    want = [r.d <= int(0.2 * max(len(r.x), len(r.y)) + 1e-9) for r in got]
+    assert [r.near for r in got] == want and 100 < sum(want) < 380
+    # A run of words put in or left out is met by words alone.
+    assert sum(w and r.bound <= 0.2 * max(len(r.x), len(r.y)) for w, r in zip(want, got, strict=True)) > 0.7 * sum(want)
+    assert str(near).count("levenshtein(") == 1
+
+
 def test_few_lines_are_compared_by_several_tasks(spark, monkeypatch):
     tasks, saved = {}, line_dedup.saved
     monkeypatch.setattr(line_dedup, "saved", lambda df, name: tasks.update({name: df.rdd.getNumPartitions()}) or saved(df, name))
